@@ -17,6 +17,8 @@ from pairloom.llm.common import ship, whole_text
 from pairloom.llm.scanner import chunks, split_texts
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
+#: Pieces of up to SHORT bytes are merged in a list; NONE is above every rank.
+SHORT, NONE = 64, 1 << 62
 
 
 def vocabulary_path(name: str) -> str:
@@ -35,10 +37,28 @@ def load_ranks(name: str) -> dict[bytes, int]:
 
 
 def merge_piece(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """Merges the adjacent pair of lowest rank, leftmost first, until none has a rank.
-    A heap of pairs over a linked list of parts keeps long pieces at n log n."""
+    """Merges the adjacent pair of lowest rank, leftmost first, until none has a rank."""
     if (whole := ranks.get(piece)) is not None:
         return [whole]
+    return _merge_short(piece, ranks) if len(piece) <= SHORT else _merge_long(piece, ranks)
+
+
+def _merge_short(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """With a list of the pairs' ranks: its minimum is the next pair."""
+    get, cuts = ranks.get, list(range(len(piece) + 1))
+    pairs = [get(piece[k : k + 2], NONE) for k in range(len(piece) - 1)]
+    while pairs and (low := min(pairs)) != NONE:
+        k = pairs.index(low)
+        del cuts[k + 1], pairs[k]
+        if k < len(pairs):
+            pairs[k] = get(piece[cuts[k] : cuts[k + 2]], NONE)
+        if k:
+            pairs[k - 1] = get(piece[cuts[k - 1] : cuts[k + 1]], NONE)
+    return [ranks[piece[a:b]] for a, b in zip(cuts, cuts[1:])]
+
+
+def _merge_long(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """With a heap of pairs over a linked list of parts, in n log n."""
     n = len(piece)
     end = list(range(1, n + 1))  # of the part that starts here
     before = list(range(-1, n - 1))
@@ -69,7 +89,7 @@ class PieceCache:
     """piece -> its ids as packed integers. Two generations bound the memory: when the
     young one is full it becomes the old one, and what is met again moves back."""
 
-    def __init__(self, encode_new, limit: int = 200_000):
+    def __init__(self, encode_new, limit: int = 400_000):
         self.encode_new, self.limit = encode_new, limit
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}

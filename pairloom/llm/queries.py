@@ -9,13 +9,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pairloom.llm.bpe import round_trip
 from pairloom.llm.common import table
 from pairloom.llm.dedup import exact_dedup
+from pairloom.llm.elias_fano import read_token_files, write_token_files
 from pairloom.llm.mixing import mix
+from pairloom.llm.token_counts import token_counts
 
 
 def op1_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "documents"))
 
 
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(table(spark, sf_dir, "documents"))
+
+
+def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_token_files(write_token_files(table(spark, sf_dir, "documents")))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"), keep="largest")
 
@@ -26,6 +36,8 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe_round_trip": op1_bpe_round_trip,
+    "op2_token_counts": op2_token_counts,
+    "op4_token_files": op4_token_files,
     "op5_exact_dedup": op5_exact_dedup,
     "op7_mixing": op7_mixing,
 }
