@@ -10,7 +10,9 @@ from pairloom.llm.bpe import round_trip
 from pairloom.llm.common import table
 from pairloom.llm.dedup import exact_dedup
 from pairloom.llm.elias_fano import read_token_files, write_token_files
+from pairloom.llm.matroska import media_digests
 from pairloom.llm.mixing import mix
+from pairloom.llm.secrets import scan_secrets
 from pairloom.llm.token_counts import token_counts
 
 
@@ -22,6 +24,10 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"))
 
 
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_secrets(table(spark, sf_dir, "documents"))
+
+
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(write_token_files(table(spark, sf_dir, "documents")))
 
@@ -30,6 +36,10 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"), keep="largest")
 
 
+def op6_media_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media_digests(table(spark, sf_dir, "documents"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).drop("copies")
 
@@ -37,8 +47,10 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe_round_trip": op1_bpe_round_trip,
     "op2_token_counts": op2_token_counts,
+    "op3_secret_scan": op3_secret_scan,
     "op4_token_files": op4_token_files,
     "op5_exact_dedup": op5_exact_dedup,
+    "op6_media_matroska": op6_media_matroska,
     "op7_mixing": op7_mixing,
 }
 
