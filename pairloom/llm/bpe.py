@@ -89,25 +89,33 @@ class PieceCache:
     """piece -> its ids as packed integers. Two generations bound the memory: when the
     young one is full it becomes the old one, and what is met again moves back."""
 
-    def __init__(self, encode_new, limit: int = 400_000):
+    def __init__(self, encode_new, limit: int = 500_000):
         self.encode_new, self.limit = encode_new, limit
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
     def look_up(self, pieces: list[str]) -> list[bytes]:
-        missing = set(pieces).difference(self.young)
-        if len(self.young) + len(missing) > self.limit and self.young:
+        """The ids of distinct pieces."""
+        if len(self.young) + len(pieces) > self.limit:
             self.old, self.young = self.young, {}
-            missing = set(pieces)
+        found = list(map(self.young.get, pieces))
+        missing = [k for k, v in enumerate(found) if v is None]
         new = []
-        for p in missing:
-            if (v := self.old.get(p)) is None:
-                new.append(p)
+        for k in missing:
+            if (v := self.old.get(pieces[k])) is None:
+                new.append(k)
             else:
-                self.young[p] = v
+                found[k] = self.young[pieces[k]] = v
         if new:
-            self.young.update(zip(new, self.encode_new(new)))
-        return list(map(self.young.__getitem__, pieces))
+            for k, v in zip(new, self.encode_new([pieces[k] for k in new])):
+                found[k] = self.young[pieces[k]] = v
+        return found
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """The packed ids of whole texts."""
+        pieces, numbers, cut = split_texts(texts)
+        packed = list(map(self.look_up(pieces).__getitem__, numbers))
+        return [b"".join(packed[a : b - 1]) for a, b in zip(cut, cut[1:])]
 
 
 class Codec:
@@ -129,9 +137,7 @@ class Codec:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit integers."""
-        pieces, bounds = split_texts(texts)
-        packed, cut = self.cache.look_up(pieces), bounds.tolist()
-        return [b"".join(packed[a : b - 1]) for a, b in zip(cut, cut[1:])]
+        return self.cache.encode(texts)
 
     def offsets(self, ids: np.ndarray) -> np.ndarray:
         """The byte place after each token."""

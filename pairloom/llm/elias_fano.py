@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pairloom.llm.bpe import PieceCache, vocabulary_path
 from pairloom.llm.common import row_count, scratch, ship, stored, whole_text
 from pairloom.llm.files import Writer, folder, read_range
-from pairloom.llm.scanner import chunks, split_texts
+from pairloom.llm.scanner import chunks
 
 TOKENIZER = "byte_bpe_50k.json"
 MAGIC = b"EFIDS001"
@@ -112,9 +112,7 @@ class LibraryEncoder:
         return [array(self.code, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        pieces, bounds = split_texts(texts)
-        packed, cut = self.cache.look_up(pieces), bounds.tolist()
-        return [b"".join(packed[a : b - 1]) for a, b in zip(cut, cut[1:])]
+        return self.cache.encode(texts)
 
 
 @lru_cache(maxsize=2)

@@ -15,6 +15,7 @@ import unicodedata
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
 
 # States: what the piece that the last code point belongs to may become.
 START, LETTERS, DIGITS, MARKS, BLANK, SPACE, QUOTE, QUOTE_RV, QUOTE_L, CONTRACTED = range(10)
@@ -126,18 +127,27 @@ def piece_starts(classes: np.ndarray, block: int = 1 << 20) -> np.ndarray:
     return np.flatnonzero(flags)
 
 
-def split_texts(texts: list[str]) -> tuple[list[str], np.ndarray]:
-    """All pieces of the texts in turn, and each text's first and last piece as bounds
-    [k], [k+1] - 1: after each text stands one piece that is its end mark."""
+def split_texts(texts: list[str]) -> tuple[list[str], list[int], list[int]]:
+    """The distinct pieces of the texts, the number of each piece in turn, and bounds:
+    text k has the pieces bounds[k] to bounds[k + 1] - 2, its end mark is the next one.
+
+    Pieces are never cut out one by one: their byte offsets over the joined text are an
+    Arrow string array as they stand, whose dictionary encoding finds the distinct ones."""
     joined = "\n".join(texts) + "\n"
+    data = joined.encode("utf-8", "surrogatepass")
     points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), "<u4")
     classes = class_table().take(points)
     ends = np.cumsum(np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts))) - 1
     classes[ends] = END
     starts = piece_starts(classes)
-    cut = starts.tolist()
-    pieces = [joined[a:b] for a, b in zip(cut, cut[1:] + [len(joined)])]
-    return pieces, np.r_[0, np.searchsorted(starts, ends) + 1]
+    offsets = starts
+    if len(data) != len(points):
+        width = (points >= 0x80).view(np.uint8) + (points >= 0x800).view(np.uint8) + (points >= 0x10000).view(np.uint8) + np.uint8(1)
+        offsets = (np.cumsum(width, dtype=np.int64) - width)[starts]
+    offsets = np.append(offsets, len(data)).astype(np.int32)
+    pieces = pa.StringArray.from_buffers(len(starts), pa.py_buffer(offsets), pa.py_buffer(data)).dictionary_encode()
+    bounds = np.r_[0, np.searchsorted(starts, ends) + 1]
+    return pieces.dictionary.to_pylist(), pieces.indices.to_numpy().tolist(), bounds.tolist()
 
 
 def chunks(rows, length, limit: int = 1 << 20):

@@ -27,12 +27,11 @@ END_ID = 50256
 BLOCK_IDS, FILE_IDS = 1 << 19, 1 << 25
 
 
-def write_flat_files(docs: DataFrame, tokenizer: str = TOKENIZER, end_id: int = END_ID, path: str | None = None, file_ids: int = FILE_IDS) -> DataFrame:
-    """Encodes every whole text (null: empty) into flat files, one or more a task, with
+def write_flat_files(docs: DataFrame, path: str, tokenizer: str = TOKENIZER, end_id: int = END_ID, file_ids: int = FILE_IDS) -> DataFrame:
+    """Encodes every whole text (null: empty) into flat files below path, one or more a task, with
     end_id after each document. Returns doc_id, file, ordinal of the documents, and a
     row with n_ids and width for each file. The text is not shuffled."""
     ship(docs.sparkSession)
-    path = path or scratch(docs.sparkSession, "flat-tokens")
     folder(path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -43,20 +42,21 @@ def write_flat_files(docs: DataFrame, tokenizer: str = TOKENIZER, end_id: int =
             rows = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())
             for part in chunks(rows, lambda r: len(r[1])):
                 if out is None:
-                    out, ordinal, total = Writer(f"{path}/{uuid.uuid4().hex}.bin"), 0, 0
+                    name = f"{uuid.uuid4().hex}.bin"
+                    out, ordinal, total = Writer(f"{path}/{name}"), 0, 0
                 data = b"".join(x + end for x in encoder.encode([r[1] for r in part]))
                 out.write(data)
                 total += len(data) // encoder.width
                 n = len(part)
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in part], pa.int64()), pa.array([out.uri] * n), pa.array(range(ordinal, ordinal + n), pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32())], _NAMES)
+                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in part], pa.int64()), pa.array([name] * n), pa.array(range(ordinal, ordinal + n), pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32())], _NAMES)
                 ordinal += n
                 if total >= file_ids:
                     out.close()
-                    yield _trailer(out.uri, total, encoder.width)
+                    yield _trailer(name, total, encoder.width)
                     out = None
         if out is not None:
             out.close()
-            yield _trailer(out.uri, total, encoder.width)
+            yield _trailer(name, total, encoder.width)
 
     return docs.select(F.col("doc_id").cast("long"), whole_text().alias("text")).mapInArrow(run, "doc_id long, file string, ordinal long, n_ids long, width int")
 
@@ -64,12 +64,12 @@ def write_flat_files(docs: DataFrame, tokenizer: str = TOKENIZER, end_id: int =
 _NAMES = ["doc_id", "file", "ordinal", "n_ids", "width"]
 
 
-def _trailer(uri: str, total: int, width: int) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.array([uri]), pa.nulls(1, pa.int64()), pa.array([total]), pa.array([width], pa.int32())], _NAMES)
+def _trailer(name: str, total: int, width: int) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.array([name]), pa.nulls(1, pa.int64()), pa.array([total]), pa.array([width], pa.int32())], _NAMES)
 
 
-def separator_scan(files: DataFrame, end_id: int = END_ID, block_ids: int = BLOCK_IDS) -> DataFrame:
-    """(file, n_ids, width) -> (file, ordinal, n_tokens), a row for each end id: how many
+def separator_scan(files: DataFrame, path: str, end_id: int = END_ID, block_ids: int = BLOCK_IDS) -> DataFrame:
+    """(file, n_ids, width) of files below path -> (file, ordinal, n_tokens), a row for each end id: how many
     ids stand between it and the one before. Ids after a file's last end id belong to
     no document. A file is one group of the prefix scan, of n_ids / block_ids rows."""
     ship(files.sparkSession)
@@ -79,7 +79,7 @@ def separator_scan(files: DataFrame, end_id: int = END_ID, block_ids: int = BLOC
         for batch in batches:
             for file, width, n_ids, block in zip(*(c.to_pylist() for c in batch.columns)):
                 first = block * block_ids
-                data = read_range(file, first * width, min(block_ids, n_ids - first) * width)
+                data = read_range(f"{path}/{file}", first * width, min(block_ids, n_ids - first) * width)
                 at = np.flatnonzero(np.frombuffer(data, f"<u{width}") == end_id) + first
                 yield pa.RecordBatch.from_arrays([pa.array([file]), pa.array([block], pa.int32()), pa.array([len(at)], pa.int64()), pa.array([int(at[-1]) if len(at) else -1], pa.int64()), pa.array([at], pa.list_(pa.int64()))], ["file", "block", "n_ends", "last_end", "ends"])
 
@@ -97,6 +97,8 @@ def separator_scan(files: DataFrame, end_id: int = END_ID, block_ids: int = BLOC
 def token_counts(docs: DataFrame, tokenizer: str = TOKENIZER, end_id: int = END_ID) -> DataFrame:
     """doc_id, n_tokens of every row, counted in the files and not while encoding. Null
     and empty texts count 0; repeated rows give repeated rows; no rows, no files."""
-    written = stored(write_flat_files(docs, tokenizer, end_id), "flat-manifest")
-    counts = separator_scan(written.filter("n_ids is not null").select("file", "n_ids", "width"), end_id)
-    return written.filter("ordinal is not null").select("doc_id", "file", "ordinal").join(counts, ["file", "ordinal"]).select("doc_id", "n_tokens")
+    path = scratch(docs.sparkSession, "flat-tokens")
+    written = stored(write_flat_files(docs, path, tokenizer, end_id), "flat-manifest")
+    counts = separator_scan(written.filter("n_ids is not null").select("file", "n_ids", "width"), path, end_id)
+    # Both sides grow with the documents: never broadcast.
+    return written.filter("ordinal is not null").select("doc_id", "file", "ordinal").join(counts.hint("merge"), ["file", "ordinal"]).select("doc_id", "n_tokens")

@@ -22,8 +22,8 @@ LIBRARY = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=load_ranks
 
 
 def pieces_of(texts):
-    pieces, bounds = split_texts(texts)
-    return [pieces[a : b - 1] for a, b in zip(bounds, bounds[1:])]
+    pieces, numbers, bounds = split_texts(texts)
+    return [[pieces[k] for k in numbers[a : b - 1]] for a, b in zip(bounds, bounds[1:])]
 
 
 @settings(max_examples=1500, deadline=None)
