@@ -89,3 +89,26 @@ def small_side(df: DataFrame, rows: int, limit: int) -> DataFrame:
     """df marked for broadcast if its counted rows are within the limit, else as it is,
     for Spark to shuffle (and to split skewed keys of)."""
     return F.broadcast(df) if rows <= limit else df
+
+
+def planned_bytes(df: DataFrame, row_bytes: int = 4096) -> int:
+    """Catalyst's estimate of the size of df, for a table that of its files; without an
+    estimate (a frame that was made from an RDD) row_bytes for each row."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return size if size < 1 << 60 else row_bytes * row_count(df)
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int, small: bool) -> DataFrame:
+    """rows left join groups on key, for groups that may hold a third of all rows.
+
+    At most 1000 groups can each cover over a thousandth of the total: those few are
+    broadcast, so that no shuffled key holds more than that share. Groups of which
+    there are few (small) are broadcast as a whole."""
+    if small:
+        return rows.join(F.broadcast(groups), key, "left")
+    heavy_from = max(2, total // 1000)
+    heavy = groups.filter(F.col(size) > heavy_from)
+    light = groups.filter(F.col(size) <= heavy_from)
+    a = rows.join(F.broadcast(heavy), key)
+    b = rows.join(F.broadcast(heavy.select(key)), key, "left_anti").join(light, key, "left")
+    return a.unionByName(b)

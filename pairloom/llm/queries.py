@@ -12,6 +12,7 @@ from pairloom.llm.dedup import exact_dedup
 from pairloom.llm.elias_fano import read_token_files, write_token_files
 from pairloom.llm.matroska import media_digests
 from pairloom.llm.mixing import mix
+from pairloom.llm.ngram_join import near_duplicates
 from pairloom.llm.quality import quality_classifier
 from pairloom.llm.secrets import scan_secrets
 from pairloom.llm.token_counts import token_counts
@@ -49,6 +50,10 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier(table(spark, sf_dir, "documents"))
 
 
+def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe_round_trip": op1_bpe_round_trip,
     "op2_token_counts": op2_token_counts,
@@ -58,6 +63,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_media_matroska": op6_media_matroska,
     "op7_mixing": op7_mixing,
     "op8_quality_classifier": op8_quality_classifier,
+    "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
 }
 
 ORACLE: dict[str, str] = {

@@ -82,7 +82,7 @@ def shingle_sets(texts: list[bytes], size: int = 5, lower: bool = True) -> list[
     n = len(h)
     grams = np.zeros(max(0, n - size + 1), np.uint64)
     for k in range(size):
-        grams += h[k : n - size + 1 + k] * scale[k + 1]
+        grams += h[k : k + len(grams)] * scale[k + 1]
     grams = mixed(grams)
     out = []
     for a, b in zip(bounds.tolist(), bounds[1:].tolist()):
