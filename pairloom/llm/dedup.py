@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairloom.llm.common import row_count, ship, small_side, stored, whole_text
+from pairloom.llm.common import join_groups, row_count, ship, small_side, stored, whole_text
 
 WIDTH = 32
 NO_ID = np.iinfo(np.int64).min
@@ -217,14 +217,7 @@ def exact_dedup(docs: DataFrame, keep: str = "largest", digest_bytes: int = WIDT
     split = stored(verified.groupBy("digest").agg(F.count(F.lit(1)).alias("texts")).filter("texts > 1").select("digest"), "digest-splits") if n_hits else hits.select("digest")
     n_split = row_count(split) if n_hits else 0
 
-    # At most 1000 digests can each cover a thousandth of the rows: those few are
-    # broadcast, and no shuffled key holds more than that share.
-    heavy_from = max(2, rows // 1000)
-    heavy = hits.filter(F.col("group_size") > heavy_from)
-    light = hits.filter(F.col("group_size") <= heavy_from)
-    a = known.join(F.broadcast(heavy), "digest")
-    b = known.join(F.broadcast(heavy.select("digest")), "digest", "left_anti").join(small_side(light, n_hits, BROADCAST_ROWS), "digest", "left")
-    found = a.unionByName(b)
+    found = join_groups(known, hits, "digest", "group_size", rows, n_hits <= BROADCAST_ROWS)
     if n_split:
         found = found.join(small_side(split, n_split, BROADCAST_ROWS), "digest", "left_anti")
     group = F.coalesce(F.col("group_size"), F.lit(1).cast("long"))
@@ -235,3 +228,15 @@ def exact_dedup(docs: DataFrame, keep: str = "largest", digest_bytes: int = WIDT
         rest = texts.join(few, "digest", "left_semi").join(exact, ["digest", "text"])
         found = found.unionByName(rest.select("doc_id", "keep_id", "group_size", F.sha2("text", 256).alias("text_sha256")))
     return found.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("keep_id")))
+
+
+def distinct_documents(docs: DataFrame, keep: str = "largest") -> DataFrame:
+    """docs without the rows that exact_dedup drops. Of rows that repeat the kept doc_id
+    and text, one stays."""
+    found = exact_dedup(docs, keep)
+    gone = stored(found.filter("not kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha")).distinct(), "dropped")
+    n = row_count(gone)
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.sha2(whole_text(), 256) == F.col("_sha"))
+    left = docs.join(small_side(gone, n, BROADCAST_ROWS), same, "left_anti")
+    kept = found.filter("kept and group_size > 1").groupBy("doc_id", "text_sha256").count().filter("count > 1")
+    return left.dropDuplicates(["doc_id", "text"]) if kept.take(1) else left

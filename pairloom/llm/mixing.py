@@ -143,7 +143,7 @@ def _quotas(shards: list[tuple[int, int, int]], size: np.ndarray, target: np.nda
 
 def mixed_documents(docs: DataFrame, seed: int = 17, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """docs with each document as often as the mix takes it: none, one or two rows."""
-    copies = stored(mix(docs, seed=seed).filter("copies > 0").groupBy("doc_id").agg(F.max("copies").alias("copies")), "mix-copies")
+    copies = stored(mix(docs, seed=seed).filter("copies > 0").groupBy(F.col("doc_id").alias("_id")).agg(F.max("copies").cast("int").alias("_copies")), "mix-copies")
     n = row_count(copies)
-    mixed = docs.join(small_side(copies, n, broadcast_rows), docs["doc_id"].eqNullSafe(copies["doc_id"])).drop(copies["doc_id"])
-    return mixed.withColumn("copies", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*docs.columns)
+    mixed = docs.join(small_side(copies, n, broadcast_rows), F.col("doc_id").eqNullSafe(F.col("_id")))
+    return mixed.withColumn("_copies", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)

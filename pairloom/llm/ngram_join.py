@@ -479,3 +479,10 @@ def _join_repeated(meta: DataFrame, found: DataFrame, moved: DataFrame) -> DataF
     links = own.select(F.array_min("all").alias("a"), F.explode("all").alias("b")).unionByName(ways)
     merged = components(links)
     return found.join(merged.select(F.col("node").alias("component"), F.col("label").alias("to")), "component", "left").select("fp", "members", "rep", F.coalesce("to", "component").alias("component"))
+
+
+def one_of_each(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+    """docs with one document of each component, that with the smallest doc_id."""
+    found = near_duplicates(docs, size, percent)
+    gone = stored(found.filter("doc_id <> component_id").select(F.col("doc_id").alias("_id")).distinct(), "near-dropped")
+    return docs.join(small_side(gone, row_count(gone), BROADCAST_ROWS), F.col("doc_id") == F.col("_id"), "left_anti")

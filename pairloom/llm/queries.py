@@ -5,11 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from pairloom.llm.bpe import round_trip
 from pairloom.llm.common import table
 from pairloom.llm.dedup import exact_dedup
 from pairloom.llm.elias_fano import read_token_files, write_token_files
+from pairloom.llm.lines import dedup_lines
 from pairloom.llm.matroska import media_digests
 from pairloom.llm.mixing import mix
 from pairloom.llm.ngram_join import near_duplicates
@@ -50,6 +52,11 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier(table(spark, sf_dir, "documents"))
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = dedup_lines(table(spark, sf_dir, "documents"))
+    return docs.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+
+
 def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -63,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_media_matroska": op6_media_matroska,
     "op7_mixing": op7_mixing,
     "op8_quality_classifier": op8_quality_classifier,
+    "op9_line_dedup": op9_line_dedup,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
 }
 
