@@ -15,10 +15,10 @@ it counts partial results, which are summed per set or per pair:
 3. Rounds. Sets that share a prefix shingle form a list. In a round, some sets of each
    list are its pivots; every other set of another component than the pivot's is a
    candidate pair with it. Fragments count the pairs' partial overlaps, the sums
-   decide exactly, links merge components, and pivots leave their lists. Lists within
-   one component are done. The number of pivots grows from round to round, so every
+   decide exactly, and links merge components. Lists within one component are done.
+   In the last round all sets outside a list's largest component are pivots, so every
    pair of a list that is not in one component is compared, while a group of
-   thousands of near copies costs about one comparison a member and not all pairs.
+   thousands of near copies costs a few comparisons a member and not all pairs.
 """
 
 from __future__ import annotations
@@ -241,8 +241,10 @@ def _answer_rarity(batches):
 
 
 def _rare_prefixes(percent: int):
-    """Each set's prefix in order of rarity, without shingles that no other set has. lead
-    marks its commonest one, which draws groups of near copies together."""
+    """Each set's prefix in order of rarity, without shingles that no other set has: the
+    shingle, its place in that order, and of the set its size and how many of its
+    shingles other sets have. lead marks the prefix's commonest shingle, which draws
+    groups of near copies together."""
 
     def run(batches):
         for batch in batches:
@@ -254,10 +256,11 @@ def _rare_prefixes(percent: int):
                 order = np.lexsort((sh, df, owner))
                 rank = np.arange(len(sh)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
                 sh, df = sh[order], df[order]
-                keep = (rank < (sizes - needed(sizes, percent) + 1)[owner]) & (df > 1)
-                sh, own, df = sh[keep], owner[keep], df[keep]
+                common = np.bincount(owner[df > 1], minlength=len(nids))
+                keep = (rank < (sizes - needed(sizes, percent) + 1)[owner]) & (df > 1) & (common >= needed(sizes, percent))[owner]
+                sh, own, rank = sh[keep], owner[keep], rank[keep]
                 lead = np.r_[own[1:] != own[:-1], True] if len(own) else np.empty(0, bool)
-                yield pa.RecordBatch.from_arrays([pa.array(sh.view(np.int64)), pa.array(nids[own]), pa.array(sizes[own], pa.int32()), pa.array(lead)], ["shingle", "nid", "n", "lead"])
+                yield pa.RecordBatch.from_arrays([pa.array(sh.view(np.int64)), pa.array(nids[own]), pa.array(sizes[own], pa.int32()), pa.array(common[own], pa.int32()), pa.array(rank, pa.int32()), pa.array(lead)], ["shingle", "nid", "n", "common", "at", "lead"])
 
     return run
 
@@ -379,44 +382,49 @@ def _linked(pairs: DataFrame, sets: DataFrame, fragments: int, percent: int) ->
 
 
 def _set_links(sets: DataFrame, lists: DataFrame, fragments: int, percent: int) -> DataFrame:
-    """(nid, label) of all sets that are linked with another."""
+    """(nid, label) of all sets that are linked with another.
+
+    Rounds with few pivots a list, lead lists first, join most of what belongs together.
+    The last round is complete: in each list still of several components, every set
+    outside the largest one is compared with all of other components."""
     labels = sets.sparkSession.createDataFrame([], "node long, label long")
     n_labels = 0
-    # Lead lists first: they are short and join most of what belongs together.
-    rounds = [(True, 1), (True, 8), *((False, 4**k) for k in range(40))]
-    rest = lists
-    for lead_only, pivots in rounds:
-        at = (rest.filter("lead") if lead_only else rest).join(small_side(labels, n_labels, BROADCAST_ROWS), F.col("nid") == F.col("node"), "left").select("shingle", "nid", "n", F.coalesce("label", "nid").alias("label"))
+    for lead_only, pivots in ((True, 1), (True, 8), (False, 1), (False, 8), (False, None)):
+        at = (lists.filter("lead") if lead_only else lists).join(small_side(labels, n_labels, BROADCAST_ROWS), F.col("nid") == F.col("node"), "left").withColumn("label", F.coalesce("label", "nid")).drop("node", "lead")
         at = stored(at, "lists")
-        mixed = at.groupBy("shingle").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("shingle")
-        mixed = stored(mixed, "mixed")
+        shares = at.groupBy("shingle", "label").agg(F.count(F.lit(1)).alias("sets"))
+        mixed = stored(shares.groupBy("shingle").agg(F.max(F.struct("sets", "label")).alias("most"), F.count(F.lit(1)).alias("labels")).filter("labels > 1").select("shingle", F.col("most.label").alias("largest")), "mixed")
         n_mixed = row_count(mixed)
         if not n_mixed:
-            if lead_only:
-                continue
-            break
-        live = at.join(small_side(mixed, n_mixed, BROADCAST_ROWS), "shingle", "left_semi")
-        order = F.struct(F.xxhash64("nid").alias("h"), "nid", "n", "label")
-        pivot = live.groupBy("shingle", F.pmod(F.xxhash64("nid", F.lit(7)), F.lit(pivots)).alias("part")).agg(F.min(order).alias("p"))
-        pivot = stored(pivot.select("shingle", F.col("p.nid").alias("c"), F.col("p.n").alias("nc"), F.col("p.label").alias("pl")), "pivots")
-        n_pivots = row_count(pivot)
-        near = (F.col("label") != F.col("pl")) & (100 * F.least("n", "nc") >= percent * F.greatest("n", "nc"))
-        pairs = live.join(small_side(pivot, n_pivots, BROADCAST_ROWS), "shingle").filter(near).select(F.col("nid").alias("d"), "c", "nc").distinct()
+            continue
+        live = at.join(small_side(mixed, n_mixed, BROADCAST_ROWS), "shingle")
+        if pivots:
+            own = F.struct(F.xxhash64("nid").alias("h"), *at.columns)
+            pivot = live.groupBy("shingle", F.pmod(F.xxhash64("nid", F.lit(7)), F.lit(pivots)).alias("part")).agg(F.min(own).alias("p")).select("p.*")
+        else:
+            pivot = live.filter("label <> largest")
+        pivot = stored(pivot.select("shingle", F.col("nid").alias("c"), F.col("n").alias("nc"), F.col("label").alias("pl"), F.col("common").alias("pcommon"), F.col("at").alias("pat")), "pivots")
+        # What the pair has in common is at most what either has in common with any set.
+        # In its first common list, which a pair must be found in, it is also at most
+        # what follows in both; that keeps pairs from coming up in all their lists.
+        enough = lambda most: (100 + percent) * most >= percent * (F.col("n") + F.col("nc"))
+        near = (F.col("label") != F.col("pl")) & enough(F.least("common", "pcommon"))
+        if not pivots:  # pairs of two pivots come once
+            near = near & enough(F.least(F.col("n") - F.col("at"), F.col("nc") - F.col("pat"))) & ((F.col("label") == F.col("largest")) | (F.col("nid") < F.col("c")))
+        pairs = live.join(small_side(pivot, row_count(pivot), BROADCAST_ROWS), "shingle").filter(near).select("c", F.col("nid").alias("d"), "nc").distinct()
         links = stored(_linked(stored(pairs, "pairs"), sets, fragments, percent), "links")
-        if links.take(1):
-            known = labels.withColumnRenamed("node", "x").withColumnRenamed("label", "lx")
-            side = lambda c: F.coalesce("lx", c)
-            a = links.join(small_side(known, n_labels, BROADCAST_ROWS), F.col("a") == F.col("x"), "left").select(side("a").alias("a"), "b")
-            b = a.join(small_side(known, n_labels, BROADCAST_ROWS), F.col("b") == F.col("x"), "left").select("a", side("b").alias("b"))
-            merged = components(b)
-            n_merged = row_count(merged)
-            old = labels.join(small_side(merged.select(F.col("node").alias("label"), F.col("label").alias("to")), n_merged, BROADCAST_ROWS), "label", "left").select("node", F.coalesce("to", "label").alias("label"))
-            fresh = merged.join(small_side(labels.select("node"), n_labels, BROADCAST_ROWS), "node", "left_anti") if n_labels else merged
-            labels = stored(old.unionByName(fresh.select("node", "label")), "set-labels")
-            n_labels = row_count(labels)
-        if not lead_only:
-            done = pivot.select("shingle", F.col("c").alias("nid"))
-            rest = stored(live.select("shingle", "nid", "n").join(small_side(done, n_pivots, BROADCAST_ROWS), ["shingle", "nid"], "left_anti"), "rest")
+        if not links.take(1):
+            continue
+        known = labels.withColumnRenamed("node", "x").withColumnRenamed("label", "lx")
+        side = lambda c: F.coalesce("lx", c)
+        a = links.join(small_side(known, n_labels, BROADCAST_ROWS), F.col("a") == F.col("x"), "left").select(side("a").alias("a"), "b")
+        b = a.join(small_side(known, n_labels, BROADCAST_ROWS), F.col("b") == F.col("x"), "left").select("a", side("b").alias("b"))
+        merged = components(b)
+        n_merged = row_count(merged)
+        old = labels.join(small_side(merged.select(F.col("node").alias("label"), F.col("label").alias("to")), n_merged, BROADCAST_ROWS), "label", "left").select("node", F.coalesce("to", "label").alias("label"))
+        fresh = merged.join(small_side(labels.select("node"), n_labels, BROADCAST_ROWS), "node", "left_anti") if n_labels else merged
+        labels = stored(old.unionByName(fresh.select("node", "label")), "set-labels")
+        n_labels = row_count(labels)
     return labels.withColumnRenamed("node", "nid")
 
 
@@ -449,7 +457,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, fragments
     parts = int(min(fragments, max(4, n_reps // 2000)))
     answers = sets.select("chunk", "nids", "reps", "sizes", "shingles").mapInArrow(_ask_rarity(parts), "frag int, chunk long, shingles binary, counts binary").repartitionById(parts, F.col("frag"))
     answers = answers.mapInArrow(_answer_rarity, "chunk long, frag int, dfs binary").groupBy("chunk").agg(F.collect_list(F.struct("frag", "dfs")).alias("answers"))
-    lists = stored(sets.join(answers, "chunk").mapInArrow(_rare_prefixes(percent), "shingle long, nid long, n int, lead boolean"), "prefixes")
+    lists = stored(sets.join(answers, "chunk").mapInArrow(_rare_prefixes(percent), "shingle long, nid long, n int, common int, at int, lead boolean"), "prefixes")
     labels = _set_links(sets, lists, parts, percent)
 
     def named(batches):
