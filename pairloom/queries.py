@@ -448,3 +448,75 @@ def paint_consistency(spark, sf_dir):
 def paint_contrast(spark, sf_dir):
     e = _emitted(spark, sf_dir).withColumn("x", E.contrast(F.col("e")))
     return e.select("sample", "chrom", "start_bp", *[F.when(F.col("sims")[k] > 0, F.round(F.col("x")[k], 6) + F.lit(0.0)).alias(f"e{k}") for k in range(3)])
+
+
+_COMB = _PIVOT + f""", em AS (SELECT *, {_TOP} AS top, {", ".join(f"CASE WHEN s{k} > 0 THEN (s{k} - {_TOP}) / 0.01 - ln({_SUM}) END AS e{k}" for k in range(3))} FROM agg),
+    ti AS (SELECT *, (CASE WHEN s0 = top AND s0 > 0 THEN 1 ELSE 0 END + CASE WHEN s1 = top AND s1 > 0 THEN 1 ELSE 0 END + CASE WHEN s2 = top AND s2 > 0 THEN 1 ELSE 0 END) AS ties FROM em),
+    co AS (SELECT *, {", ".join(f"ln((sum(CASE WHEN s{k} = top AND s{k} > 0 THEN 1.0::double / ties ELSE 0 END) OVER w + 0.5) / (count(*) OVER w + 1)) AS c{k}" for k in range(3))} FROM ti WINDOW w AS (PARTITION BY sample, chrom ORDER BY start_bp ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING))"""
+
+
+@query(_COMB + " SELECT sample, chrom, start_bp, " + ", ".join(f"round(CASE WHEN e{k} IS NULL THEN c{k} ELSE 0.7 * e{k} + 0.3 * c{k} END, 5) AS b{k}" for k in range(3)) + " FROM co")
+def paint_blend(spark, sf_dir):
+    c = E.consistency(_emitted(spark, sf_dir), ["sample", "chrom"], "start_bp", "sims", 3, 2).withColumn("b", E.blend(F.col("e"), F.col("consistency"), 0.3))
+    return c.select("sample", "chrom", "start_bp", *[F.round(F.col("b")[k], 5).alias(f"b{k}") for k in range(3)])
+
+
+_BEST = lambda p: f"CASE WHEN coalesce({p}2, -1e9) >= coalesce({p}0, -1e9) AND coalesce({p}2, -1e9) >= coalesce({p}1, -1e9) THEN 2 WHEN coalesce({p}1, -1e9) >= coalesce({p}0, -1e9) THEN 1 ELSE 0 END"
+
+
+@query(_COMB + f", ag AS (SELECT *, least(0.95, 0.3 * CASE WHEN {_BEST('e')} = {_BEST('c')} THEN 1.5 ELSE 0.2 END) AS w FROM co) SELECT sample, chrom, start_bp, " + ", ".join(f"round(CASE WHEN e{k} IS NULL THEN c{k} ELSE (1 - w) * e{k} + w * c{k} END, 4) AS b{k}" for k in range(3)) + " FROM ag")
+def paint_agreement(spark, sf_dir):
+    c = E.consistency(_emitted(spark, sf_dir), ["sample", "chrom"], "start_bp", "sims", 3, 2).withColumn("b", E.blend_agreement(F.col("e"), F.col("consistency"), 0.3))
+    return c.select("sample", "chrom", "start_bp", *[F.round(F.col("b")[k], 4).alias(f"b{k}") for k in range(3)])
+
+
+# Hidden Markov models.
+
+_FP = {"enter": 1e-3, "leave": 0.02, "start": 1e-3}
+_LN = lambda p: f"ln({p!r}::double)"
+_DENS = lambda m, s: f"(-0.5 * ((identity - {m!r}) / {s!r}::double) * ((identity - {m!r}) / {s!r}::double) - {math.log(s) + 0.5 * math.log(2 * math.pi)!r})"
+_ADD = lambda a, b: f"(greatest({a}, {b}) + ln(1 + exp(-abs(({a}) - ({b})))))"
+
+
+@query(f"""WITH RECURSIVE {V.SIM}, ob AS (SELECT chrom, hap_a, hap_b, row_number() OVER (PARTITION BY chrom, hap_a, hap_b ORDER BY start_bp) AS t, {_DENS(0.9985, 0.001)} AS e0, {_DENS(0.9997, 0.0005)} AS e1 FROM sim),
+    fw AS (SELECT chrom, hap_a, hap_b, t, {_LN(1 - _FP['start'])} + e0 AS a0, {_LN(_FP['start'])} + e1 AS a1 FROM ob WHERE t = 1
+        UNION ALL SELECT o.chrom, o.hap_a, o.hap_b, o.t, {_ADD(f"a0 + {_LN(1 - _FP['enter'])}", f"a1 + {_LN(_FP['leave'])}")} + e0, {_ADD(f"a0 + {_LN(_FP['enter'])}", f"a1 + {_LN(1 - _FP['leave'])}")} + e1
+        FROM fw JOIN ob o ON o.chrom = fw.chrom AND o.hap_a = fw.hap_a AND o.hap_b = fw.hap_b AND o.t = fw.t + 1)
+    SELECT chrom, hap_a, hap_b, max(t) AS n_windows, round(max_by({_ADD('a0', 'a1')}, t), 4) AS log_likelihood FROM fw GROUP BY 1, 2, 3""")
+def ibd_forward(spark, sf_dir):
+    from pairloom.functions.folds import log_likelihood
+
+    s = V.similarity(spark, sf_dir)
+    out = log_likelihood(s, _KEYS, "start_bp", C.gaussian_log_pdf("identity", 0.9985, 0.001), C.gaussian_log_pdf("identity", 0.9997, 0.0005), **_FP)
+    return out.withColumn("log_likelihood", F.round("log_likelihood", 4))
+
+
+@query()
+def ibd_posteriors(spark, sf_dir):
+    """Decoded windows with trained parameters; not for SQL (Baum-Welch)."""
+    from pairloom.plans.pairs import PairOptions, decode_windows
+
+    return decode_windows(V.similarity(spark, sf_dir), PairOptions(rounds=5))
+
+
+@query()
+def ibd_segments(spark, sf_dir):
+    from pairloom.plans.pairs import PairOptions, detect_shared
+
+    return detect_shared(V.similarity(spark, sf_dir), PairOptions(min_len_bp=50_000, min_lod=1.0, rounds=5))
+
+
+@query()
+def paint_segments(spark, sf_dir):
+    from pairloom.plans.painting import PaintOptions, paint
+
+    return paint(V.similarity(spark, sf_dir), V.populations(spark), list(V.QUERIES), PaintOptions(estimate=True))
+
+
+@query()
+def tract_timing(spark, sf_dir):
+    from pairloom.kernels.timing import TimingOptions
+    from pairloom.plans.painting import timing
+
+    tracts = L.runs(V.track(spark, sf_dir), ["sample"], "pos", "state")
+    return timing(tracts.select("sample", F.concat(F.lit("P"), F.col("state").cast("string")).alias("ancestry"), F.lit(0).alias("start_bp"), (F.col("last_pos") - F.col("first_pos") + 1).alias("end_bp")), TimingOptions(least_bp=0.5))
