@@ -389,7 +389,7 @@ def _set_links(sets: DataFrame, lists: DataFrame, fragments: int, percent: int)
     outside the largest one is compared with all of other components."""
     labels = sets.sparkSession.createDataFrame([], "node long, label long")
     n_labels = 0
-    for lead_only, pivots in ((True, 1), (True, 8), (False, 1), (False, 8), (False, None)):
+    for turn, (lead_only, pivots) in enumerate(((True, 1), (True, 8), (False, 1), (False, 8), (False, 16), (False, 16), (False, None))):
         at = (lists.filter("lead") if lead_only else lists).join(small_side(labels, n_labels, BROADCAST_ROWS), F.col("nid") == F.col("node"), "left").withColumn("label", F.coalesce("label", "nid")).drop("node", "lead")
         at = stored(at, "lists")
         shares = at.groupBy("shingle", "label").agg(F.count(F.lit(1)).alias("sets"))
@@ -399,7 +399,7 @@ def _set_links(sets: DataFrame, lists: DataFrame, fragments: int, percent: int)
             continue
         live = at.join(small_side(mixed, n_mixed, BROADCAST_ROWS), "shingle")
         if pivots:
-            own = F.struct(F.xxhash64("nid").alias("h"), *at.columns)
+            own = F.struct(F.xxhash64("nid", F.lit(turn)).alias("h"), *at.columns)
             pivot = live.groupBy("shingle", F.pmod(F.xxhash64("nid", F.lit(7)), F.lit(pivots)).alias("part")).agg(F.min(own).alias("p")).select("p.*")
         else:
             pivot = live.filter("label <> largest")
