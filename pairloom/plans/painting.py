@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pairloom.kernels import chain, states
+from pairloom.kernels import chain, estimates, states, transforms
 from pairloom.kernels.timing import TimingOptions, pulses
 from pairloom.operators import emissions as E
 from pairloom.operators.islands import runs
@@ -37,6 +37,11 @@ class PaintOptions:
     consistency_context: int = 5
     label_smooth: float = 0.0
     decoding: str = "viterbi"
+    #: Second pass: each sample's own proportions and switch rates, and transforms by name.
+    two_pass: bool = False
+    transforms: tuple[tuple[str, tuple[tuple[str, float], ...]], ...] = ()
+    entropy_smooth: int = 0
+    majority_radius: int = 0
     smooth_min_windows: int = 0
     posterior_smooth: bool = False
     min_windows: int = 3
@@ -98,15 +103,35 @@ def transitions(k: int, switch: float) -> np.ndarray:
     return np.log(t)
 
 
+def _pass(e, init, trans, lengths, k: int, o: PaintOptions):
+    post, _ = chain.posteriors(e, init, trans, lengths)
+    return post, chain.viterbi(e, init, trans, lengths) if o.decoding == "viterbi" else k - 1 - post[..., ::-1].argmax(-1)
+
+
 def _decode(groups: list[pd.DataFrame], k: int, switch: float, o: PaintOptions) -> pd.DataFrame:
     e, lengths = chain.stack([np.array(g["e"].tolist(), float) for g in groups])
     e = np.where(np.isfinite(e), e, -1e3)
     init, trans = np.full((len(groups), k), -math.log(k)), np.broadcast_to(transitions(k, switch), (len(groups), k, k))
-    post, _ = chain.posteriors(e, init, trans, lengths)
-    path = chain.viterbi(e, init, trans, lengths) if o.decoding == "viterbi" else k - 1 - post[..., ::-1].argmax(-1)
+    post, path = _pass(e, init, trans, lengths, k, o)
+    if o.two_pass or o.transforms:
+        chosen = {name: dict(params) for name, params in o.transforms}
+        if chosen:
+            e = e.copy()
+            for i, n in enumerate(lengths):
+                again = transforms.apply(e[i, :n], chosen, post[i, :n])
+                e[i, :n] = np.where(np.isfinite(again), again, -1e3)
+        if o.two_pass:
+            shares = [estimates.proportions(path[i, :n], k) for i, n in enumerate(lengths)]
+            init = np.log(np.stack(shares))
+            trans = np.log(np.stack([estimates.proportional_transitions(p, estimates.switch_rates(path[i, :n], k)) for i, (p, n) in enumerate(zip(shares, lengths))]))
+        post, path = _pass(e, init, trans, lengths, k, o)
     out = []
     for i, (g, n) in enumerate(zip(groups, lengths)):
         s, p = path[i, :n], post[i, :n]
+        if o.entropy_smooth:
+            p = estimates.entropy_smooth(p, o.entropy_smooth)
+        if o.majority_radius:
+            s = estimates.majority(s, o.majority_radius)
         if o.posterior_smooth and o.smooth_min_windows:
             s = states.posterior_smooth(s, p, o.smooth_min_windows)
         elif o.smooth_min_windows:

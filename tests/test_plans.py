@@ -45,6 +45,15 @@ def test_golden_painting(spark):
     assert timing_of(paint(raw, pops, ["CHILD"], PaintOptions(estimate=True))).count() == 4
 
 
+@pytest.mark.parametrize("options", [{"two_pass": True}, {"transforms": (("center", ()), ("residual", (("factor", 1.2),)), ("persistence", ()))}, {"decoding": "posterior", "entropy_smooth": 2}, {"emission_context": 1, "majority_radius": 2}, {"contrast": True, "consistency_weight": 0.3}, {"emission_model": "mean", "smooth_min_windows": 3}, {"emission_model": "top", "posterior_smooth": True, "smooth_min_windows": 3}, {"emission_model": "median", "label_smooth": 0.05}])
+def test_paint_options_find_the_quarters(spark, options):
+    pops = spark.createDataFrame([(f"GP{k}", f"GP{k}") for k in range(1, 5)], "population string, haplotype string")
+    raw = frame(spark, mosaic()).selectExpr("chrom", "start_bp", "end_bp", "group_a as hap_a", "group_b as hap_b", "identity")
+    found = paint(raw, pops, ["CHILD"], PaintOptions(estimate=True, **options)).collect()
+    big = sorted((r.start_bp, r.ancestry) for r in found if r.n_windows > 60)
+    assert [a for _, a in big] == ["GP1", "GP2", "GP3", "GP4"] and all(abs(s - k * 1_250_000) <= 50_000 for k, (s, _) in enumerate(big))
+
+
 def test_recursions_against_all_paths():
     rng = np.random.default_rng(3)
     for k, n in ((2, 6), (3, 5)):
