@@ -520,3 +520,30 @@ def tract_timing(spark, sf_dir):
 
     tracts = L.runs(V.track(spark, sf_dir), ["sample"], "pos", "state")
     return timing(tracts.select("sample", F.concat(F.lit("P"), F.col("state").cast("string")).alias("ancestry"), F.lit(0).alias("start_bp"), (F.col("last_pos") - F.col("first_pos") + 1).alias("end_bp")), TimingOptions(least_bp=0.5))
+
+
+# Scoring.
+
+
+@query(f"WITH {V.SEGMENTS} SELECT chrom, hap_a, w AS window, max_by(l_returnflag, {{'s': start_bp, 'l': l_returnflag}}) AS l_returnflag FROM seg, unnest(range(start_bp // 2000, (greatest(start_bp, end_bp - 1)) // 2000 + 1)) t(w) GROUP BY 1, 2, 3")
+def painted_windows(spark, sf_dir):
+    from pairloom.operators.score import painted_windows as painted
+
+    return painted(V.segments(spark, sf_dir), ["chrom", "hap_a"], "l_returnflag", 2000)
+
+
+_HK = "chrom, s1, h1, s2, h2"
+_HAPS = f"""{V.SEGMENTS}, hs AS (SELECT *, CASE WHEN hap_a <= hap_b THEN hap_a ELSE hap_b END AS x, CASE WHEN hap_a <= hap_b THEN hap_b ELSE hap_a END AS y FROM seg),
+    hk AS (SELECT chrom, start_bp, end_bp, l_returnflag, split_part(x, '#', 1) AS hap_a, concat(split_part(x, '#', 2), '|', split_part(y, '#', 1), '|', split_part(y, '#', 2)) AS hap_b FROM hs),
+    ho AS (SELECT * FROM hk WHERE l_returnflag <> 'N'), ht AS (SELECT * FROM hk WHERE l_returnflag = 'N'), {_merged('a', 'ho')}, {_merged('b', 'ht')},
+    la AS (SELECT {_K}, sum(end_bp - start_bp)::bigint AS a_bp FROM a GROUP BY ALL), lb AS (SELECT {_K}, sum(end_bp - start_bp)::bigint AS b_bp FROM b GROUP BY ALL),
+    lab AS (SELECT {_K}, sum(least(a.end_bp, b.end_bp) - greatest(a.start_bp, b.start_bp))::bigint AS ab_bp FROM a JOIN b USING ({_K}) WHERE a.start_bp < b.end_bp AND b.start_bp < a.end_bp GROUP BY ALL),
+    j AS (SELECT {_K}, coalesce(a_bp, 0) AS a_bp, coalesce(b_bp, 0) AS b_bp, coalesce(ab_bp, 0) AS ab_bp FROM la FULL JOIN lb USING ({_K}) LEFT JOIN lab USING ({_K}))"""
+
+
+@query(f"WITH {_HAPS} SELECT chrom, hap_a AS sample1, split_part(hap_b, '|', 1)::int AS hap1, split_part(hap_b, '|', 2) AS sample2, split_part(hap_b, '|', 3)::int AS hap2, a_bp, b_bp, ab_bp, round(CASE WHEN a_bp + b_bp - ab_bp > 0 THEN ab_bp / (a_bp + b_bp - ab_bp)::double ELSE 0 END, 6) AS jaccard, round(CASE WHEN a_bp > 0 THEN ab_bp / a_bp::double ELSE 0 END, 6) AS precision, round(CASE WHEN b_bp > 0 THEN ab_bp / b_bp::double ELSE 0 END, 6) AS recall FROM j")
+def haplotype_concordance(spark, sf_dir):
+    from pairloom.operators.score import by_haplotype
+
+    gold = V.theirs(spark, sf_dir).select("chrom", "start_bp", "end_bp", C.sample_of("hap_a").alias("sample1"), C.haplotype_index("hap_a").alias("hap1"), C.sample_of("hap_b").alias("sample2"), C.haplotype_index("hap_b").alias("hap2"))
+    return by_haplotype(V.ours(spark, sf_dir), gold)
