@@ -30,6 +30,41 @@ def background(pop: str, window: int) -> Gauss:
     return Gauss(1 - pi, math.sqrt(3 * pi / max(1, window)))
 
 
+Bounds = tuple[float, float]
+
+
+def logit(x):
+    y = np.clip(np.asarray(x, float), 1e-10, 1 - 1e-10)
+    return np.clip(np.log(y / (1 - y)), -12.0, 12.0)
+
+
+def to_logit(g: Gauss) -> Gauss:
+    """The Gaussian of the logit by the delta method, its deviation within .01 and 6."""
+    spread = g.mean * (1 - g.mean)
+    return Gauss(float(logit(g.mean)), max(min(g.std / spread, 6.0) if spread > 1e-15 else 6.0, 0.01))
+
+
+@dataclass(frozen=True)
+class Space:
+    """Scale of the observations: priors of both states, and the bounds of estimates."""
+
+    low: Gauss
+    high: Gauss
+    separation: float
+    still: tuple[float, float, float, float]  # variance that is none, mean from which it is high, least deviations
+    first: tuple[Bounds, Bounds, Bounds, Bounds]  # low mean, low deviation, high mean, high deviation
+    trained: tuple[Bounds, Bounds, Bounds, Bounds]
+
+    @classmethod
+    def of(cls, pop: str, window: int, in_logits: bool = False) -> Space:
+        low = background(pop, window)
+        if not in_logits:
+            mean = (low.mean - 0.005, 0.9993)
+            return cls(low, SHARED, 5e-4, (1e-8, 0.9993, 0.001, 0.0005), (mean, (0.0005, 0.005), (0.999, 1.0), (0.0003, 0.002)), (mean, (0.0003, 0.005), (0.999, 1.0), (0.0002, 0.002)))
+        low, high, any_mean = to_logit(low), to_logit(SHARED), (-math.inf, math.inf)
+        return cls(low, high, 0.5, (1e-6, high.mean - 1, 0.2, 0.1), (any_mean, (0.1, 5.0), any_mean, (0.05, 3.0)), ((low.mean - 2, low.mean + 2), (0.2, 3.0), (high.mean - 1, 12.0), (0.2, 3.0)))
+
+
 @dataclass(frozen=True)
 class Params:
     """Entering and leaving probabilities, and the emissions of both states."""
@@ -41,13 +76,14 @@ class Params:
     start: float
 
     @classmethod
-    def of(cls, pop: str = "GENERIC", expected_windows: float = 50, enter: float = 1e-4, window: int = 10_000, adaptive: bool = False) -> Params:
+    def of(cls, pop: str = "GENERIC", expected_windows: float = 50, enter: float = 1e-4, window: int = 10_000, adaptive: bool = False, in_logits: bool = False) -> Params:
         pop = population(pop)
         if adaptive:
             length, rate = ADAPTIVE.get(pop, (1.0, 1.0))
             expected_windows, enter = max(expected_windows * length, 2.0), min(max(enter * rate, 1e-8), 0.999)
         stay = min(max(1 - 1 / expected_windows, 0.5), 0.9999)
-        return cls(enter, 1 - stay, background(pop, window), SHARED, enter)
+        space = Space.of(pop, window, in_logits)
+        return cls(enter, 1 - stay, space.low, space.high, enter)
 
     def log_start(self) -> np.ndarray:
         return np.log([1 - self.start, self.start])
@@ -63,21 +99,26 @@ def clamp(x: float, low: float, high: float) -> float:
     return min(max(x, low), high)
 
 
-def robust(p: Params, x: np.ndarray, pop: str, window: int) -> Params:
+def bounded(mean: float, std: float, means: Bounds, stds: Bounds) -> Gauss:
+    return Gauss(clamp(mean, *means), clamp(std, *stds))
+
+
+def robust(p: Params, x: np.ndarray, pop: str, window: int, in_logits: bool = False) -> Params:
     """Emissions from the data: k-means where two clusters stand apart, else a mixture drawn
     to the prior if it explains the data better than one Gaussian; all within bounds."""
     x = np.asarray(x, float)
     if len(x) < 10:
         return p
-    prior, mean, var = background(pop, window), float(x.mean()), float(x.var())
-    if var < 1e-8:
-        if mean > 0.9993:
-            return replace(p, high=Gauss(mean, max(math.sqrt(var), 0.0005)))
-        return replace(p, low=Gauss(mean, max(math.sqrt(var), 0.001)))
-    low_of = lambda m, s: Gauss(clamp(m, prior.mean - 0.005, 0.9993), clamp(s, 0.0005, 0.005))
-    high_of = lambda m, s: Gauss(clamp(m, 0.999, 1.0), clamp(s, 0.0003, 0.002))
+    space, mean, var = Space.of(pop, window, in_logits), float(x.mean()), float(x.var())
+    none, from_high, least_low, least_high = space.still
+    if var < none:
+        if mean > from_high:
+            return replace(p, high=Gauss(mean, max(math.sqrt(var), least_high)))
+        return replace(p, low=Gauss(mean, max(math.sqrt(var), least_low)))
+    low_of = lambda m, s: bounded(m, s, *space.first[:2])
+    high_of = lambda m, s: bounded(m, s, *space.first[2:])
     centres, label = kmeans(x, 2, 30)
-    if abs(centres[0] - centres[1]) > 5e-4:
+    if abs(centres[0] - centres[1]) > space.separation:
         first = int(centres[0] >= centres[1])
         a, b = x[label == first], x[label != first]
         if len(a) > 2:
@@ -86,27 +127,28 @@ def robust(p: Params, x: np.ndarray, pop: str, window: int) -> Params:
             p = replace(p, high=high_of(float(b.mean()), float(b.std())))
         return p
     weight, strength = EM_START.get(pop, (0.95, 5.0))
-    found = mixture(x, prior, SHARED, weight, strength=strength) or mixture(x, prior, SHARED, weight)
-    if found and abs(found[1].mean - found[0].mean) > 2.5e-4:
+    found = mixture(x, space.low, space.high, weight, strength=strength) or mixture(x, space.low, space.high, weight)
+    if found and abs(found[1].mean - found[0].mean) > space.separation / 2:
         one, two = information(x, *found)
         if two < one:
             return replace(p, low=low_of(found[0].mean, found[0].std), high=high_of(found[1].mean, found[1].std))
     return p
 
 
-def train(params: list[Params], xs: list[np.ndarray], pop: str, window: int, rounds: int, tol: float = 1e-6) -> list[Params]:
+def train(params: list[Params], xs: list[np.ndarray], pop: str, window: int, rounds: int, tol: float = 1e-6, in_logits: bool = False, extra: list[np.ndarray] | None = None) -> list[Params]:
     """Baum-Welch of means, deviations and transitions, each sequence with its own
     parameters, all sequences in one sweep. Bounds keep the states apart; where they
-    would cross, both emissions start anew. Sequences of under 10 windows stay."""
+    would cross, both emissions start anew. Sequences of under 10 windows stay. extra
+    adds fixed log emissions of other observations."""
     params = list(params)
     live = [k for k, x in enumerate(xs) if len(x) >= 10]
     last = dict.fromkeys(live, -math.inf)
-    prior = background(pop, window)
+    space = Space.of(pop, window, in_logits)
     for _ in range(rounds):
         if not live:
             break
         obs, lengths = chain.stack([np.asarray(xs[k], float) for k in live])
-        emit, _ = chain.stack([params[k].emissions(xs[k]) for k in live])
+        emit, _ = chain.stack([params[k].emissions(xs[k]) + (extra[k] if extra else 0.0) for k in live])
         start = np.stack([params[k].log_start() for k in live])
         trans = np.stack([params[k].log_trans() for k in live])
         alpha, ll = chain.forward(emit, start, trans, lengths)
@@ -128,10 +170,10 @@ def train(params: list[Params], xs: list[np.ndarray], pop: str, window: int, rou
         sd = np.sqrt((gamma * (obs[..., None] - mu[:, None]) ** 2).sum(1) / scale)
         for i in moving:
             k, p = live[i], params[live[i]]
-            low = Gauss(clamp(mu[i, 0], prior.mean - 0.005, 0.9993), clamp(sd[i, 0], 0.0003, 0.005))
-            high = Gauss(clamp(mu[i, 1], 0.999, 1.0), clamp(sd[i, 1], 0.0002, 0.002))
+            low = bounded(float(mu[i, 0]), float(sd[i, 0]), *space.trained[:2])
+            high = bounded(float(mu[i, 1]), float(sd[i, 1]), *space.trained[2:])
             if low.mean >= high.mean:
-                low, high = prior, SHARED
+                low, high = space.low, space.high
             row = xi[i].sum(1)
             enter = xi[i, 0, 1] / row[0] if row[0] > 1 else p.enter
             leave = xi[i, 1, 0] / row[1] if row[1] > 1 else p.leave
@@ -140,6 +182,19 @@ def train(params: list[Params], xs: list[np.ndarray], pop: str, window: int, rou
     return params
 
 
+def side_emissions(value: np.ndarray, post: np.ndarray, least: float = 1e-3) -> np.ndarray:
+    """Log densities of a second observation under Gaussians that the posteriors weight."""
+    out = np.zeros((len(value), 2))
+    for k, w in enumerate((1 - post, post)):
+        total = float(w.sum())
+        if total > 1.0:
+            m = float((w * value).sum()) / total
+            out[:, k] = Gauss(m, max(math.sqrt(max(float((w * (value - m) ** 2).sum()) / total, 0.0)), least)).log_pdf(value)
+        else:
+            return np.zeros((len(value), 2))
+    return out
+
+
 def distance_transitions(p: Params, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A log matrix for each step: rates -ln(1 - p) times the distance of the windows'
     midpoints over the first window's length."""

@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pairloom.functions.columns import coverage_ratio
 from pairloom.kernels import two_state as K
 from pairloom.operators.aggregates import contrast_adjust
 from pairloom.operators.islands import composite_filter, merge_nearby, shared_segments
@@ -48,6 +49,8 @@ class PairOptions:
     k0_feature: bool = False
     k0_threshold: float = 0.9999
     distance_transitions: bool = False
+    logit_emissions: bool = False
+    coverage_feature: bool = False
 
     def least_windows(self) -> int:
         return self.min_windows or max(self.min_len_bp // self.window, 1)
@@ -56,12 +59,20 @@ class PairOptions:
 def _decode(groups: list[pd.DataFrame], o: PairOptions) -> pd.DataFrame:
     pop = K.population(o.population)
     xs = [g["identity"].to_numpy(float) for g in groups]
-    params = [K.robust(K.Params.of(pop, o.expected_windows, o.enter, o.window, o.adaptive_transitions), x, pop, o.window) for x in xs]
+    if o.logit_emissions:
+        xs = [K.logit(x) for x in xs]
+    start = K.Params.of(pop, o.expected_windows, o.enter, o.window, o.adaptive_transitions, o.logit_emissions)
+    params = [K.robust(start, x, pop, o.window, o.logit_emissions) for x in xs]
     if o.adaptive_emission:
         params = [K.replace(p, high=K.Gauss(p.high.mean, _top_std(x) or p.high.std)) for p, x in zip(params, xs)]
+    extra = None
+    if o.coverage_feature:
+        # Fixed before training, from the posteriors of the first parameters.
+        first = K.decode(params, [p.emissions(x) for p, x in zip(params, xs)])
+        extra = [K.side_emissions(g["coverage"].to_numpy(float), post) for g, (_, post) in zip(groups, first)]
     if o.rounds:
-        params = K.train(params, xs, pop, o.window, o.rounds)
-    emits = [p.emissions(x) for p, x in zip(params, xs)]
+        params = K.train(params, xs, pop, o.window, o.rounds, in_logits=o.logit_emissions, extra=extra)
+    emits = [p.emissions(x) + (extra[k] if extra else 0.0) for k, (p, x) in enumerate(zip(params, xs))]
     steps = [K.distance_transitions(p, g["start_bp"].to_numpy(), g["end_bp"].to_numpy()) for p, g in zip(params, groups)] if o.distance_transitions else None
     if o.k0_feature:
         for k, (_, post) in enumerate(K.decode(params, emits, steps)):
@@ -109,7 +120,8 @@ def decode_windows(pairs: DataFrame, options: PairOptions = PairOptions(), mask:
     rows = rows.withColumn("raw_identity", F.col("identity"))
     if o.contrast:
         rows = contrast_adjust(rows).withColumn("identity", F.col("adjusted")).drop("adjusted")
-    rows = rows.select("chrom", "start_bp", "end_bp", "hap_a", "hap_b", F.col("identity").cast("double"), F.col("raw_identity").cast("double"))
+    coverage = coverage_ratio("a_length", "b_length") if o.coverage_feature else F.lit(0.0)
+    rows = rows.select("chrom", "start_bp", "end_bp", "hap_a", "hap_b", F.col("identity").cast("double"), F.col("raw_identity").cast("double"), coverage.cast("double").alias("coverage"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rest, ready, size = None, [], 0

@@ -25,9 +25,10 @@ def test_golden_shared_segments(spark):
     ]
 
 
-@pytest.mark.parametrize("options", [{"multi_scale": True}, {"k0_feature": True}, {"emission_context": 2}, {"bridge_gaps": 3}, {"composite": True}, {"distance_transitions": True}, {"adaptive_refinement": True, "adaptive_transitions": True}, {"contrast": True}])
+@pytest.mark.parametrize("options", [{"multi_scale": True}, {"k0_feature": True}, {"emission_context": 2}, {"bridge_gaps": 3}, {"composite": True}, {"distance_transitions": True}, {"adaptive_refinement": True, "adaptive_transitions": True}, {"contrast": True}, {"logit_emissions": True}, {"coverage_feature": True}])
 def test_options_find_the_planted_segments(spark, options):
-    found = detect_shared(load_pairs(frame(spark, shared_pairs())), PairOptions(min_len_bp=1_000_000, **options)).collect()
+    pairs = load_pairs(frame(spark, shared_pairs())).selectExpr("*", "1000L as a_length", "900L + start_bp div 10000 % 7 as b_length")
+    found = detect_shared(pairs, PairOptions(min_len_bp=1_000_000, **options)).collect()
     assert {(r.hap_a, r.hap_b) for r in found} >= {("SIM1#1", "SIM2#1"), ("SIM1#2", "SIM3#1")}
 
 
