@@ -43,6 +43,7 @@ def identity_classes(pairs: DataFrame, haplotypes: tuple[str, str, str, str]) ->
     counted = loci.join(lookup, "mask", "left").groupBy("delta").agg(F.count(F.lit(1)).alias("n"))
     span = pairs.agg(F.min("start_bp").alias("lo"), F.max("end_bp").alias("hi"), F.min(F.struct("start_bp", "end_bp")).alias("first"))
     windows = F.floor((F.col("hi") - F.col("lo") + 1) / (F.col("first.end_bp") - F.col("first.start_bp") + 1)).cast("long")
-    missing = span.join(loci.agg(F.count(F.lit(1)).alias("seen")), F.lit(True)).select(F.lit(9).alias("delta"), F.greatest(F.lit(0).cast("long"), windows - F.col("seen")).alias("n"))
+    seen = loci.agg(F.count(F.lit(1))).scalar()
+    missing = span.select(F.lit(9).alias("delta"), F.greatest(F.lit(0).cast("long"), windows - seen).alias("n"))
     total = counted.filter("delta is not null").unionByName(missing).groupBy("delta").agg(F.sum("n").alias("n")).filter("n > 0")
-    return total.join(total.agg(F.sum("n").alias("all")), F.lit(True)).select("delta", "n", F.round(F.col("n") / F.col("all"), 6).alias("proportion"))
+    return total.select("delta", "n", F.round(F.col("n") / total.agg(F.sum("n")).scalar(), 6).alias("proportion"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pairloom.functions.columns import sample_of
@@ -25,7 +25,7 @@ def relationship(pairs: DataFrame) -> DataFrame:
 
 def centered(matrix: DataFrame) -> DataFrame:
     """The averages less their grand mean."""
-    return matrix.withColumn("centered", F.col("average") - F.avg("average").over(Window.partitionBy()))
+    return matrix.withColumn("centered", F.col("average") - matrix.agg(F.avg("average")).scalar())
 
 
 def diploid(matrix: DataFrame) -> DataFrame:
@@ -45,6 +45,6 @@ def double_centered(matrix: DataFrame) -> DataFrame:
     flip = matrix.filter("individual_a <> individual_b").select(F.col("individual_b").alias("individual_a"), F.col("individual_a").alias("individual_b"), "average")
     full = matrix.select("individual_a", "individual_b", "average").unionByName(flip)
     means = full.groupBy(F.col("individual_a").alias("i")).agg(F.avg("average").alias("m"))
-    grand = full.agg(F.avg("average").alias("g"))
-    x = matrix.join(means.withColumnRenamed("i", "individual_a").withColumnRenamed("m", "ma"), "individual_a").join(means.withColumnRenamed("i", "individual_b").withColumnRenamed("m", "mb"), "individual_b").join(grand, F.lit(True))
-    return x.withColumn("centered", F.col("average") - F.col("ma") - F.col("mb") + F.col("g")).drop("ma", "mb", "g")
+    grand = full.agg(F.avg("average")).scalar()
+    x = matrix.join(means.withColumnRenamed("i", "individual_a").withColumnRenamed("m", "ma"), "individual_a").join(means.withColumnRenamed("i", "individual_b").withColumnRenamed("m", "mb"), "individual_b")
+    return x.withColumn("centered", F.col("average") - F.col("ma") - F.col("mb") + grand).drop("ma", "mb")
