@@ -411,7 +411,7 @@ _MASK = "CASE " + " ".join(f"WHEN hap_a = '{min(a, b)}' AND hap_b = '{max(a, b)}
     w AS (SELECT greatest(0, (max(end_bp) - min(start_bp) + 1) // 10000 - (SELECT count(*) FROM loci)) AS n FROM same),
     t AS (SELECT delta, sum(n)::bigint AS n FROM (SELECT * FROM c UNION ALL SELECT 9, n FROM w) GROUP BY 1 HAVING sum(n) > 0)
     SELECT delta, n, round(n / (SELECT sum(n) FROM t), 6) AS proportion FROM t""")
-def jacquard_deltas(spark, sf_dir):
+def identity_deltas(spark, sf_dir):
     return identity9.identity_classes(V.similarity(spark, sf_dir).filter("identity >= 0.998"), _FOUR)
 
 
