@@ -16,7 +16,7 @@ grows from round to round until every line left has met every earlier one.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pairloom.llm.common import join_groups, row_count, small_side, stored, whole_text
@@ -27,27 +27,23 @@ BROADCAST_ROWS = 200_000
 SALT = 16
 
 
-def rarity_levels(docs: DataFrame):
-    """A constant array: the rarity level of every hash cell, 8 log2 of the words in it. The
-    driver sees a number for each cell."""
+def rarity_levels(docs: DataFrame) -> tuple[int, Column]:
+    """A constant array: the rarity level of every hash cell, 8 log2 of the words in it; and
+    the level from which on a cell must hold a word that is over a few thousandths of a
+    per cent of all: four times the median cell. The driver sees a number for each cell."""
     words = docs.select(F.explode(F.split(whole_text(), WORDS)).alias("w")).groupBy(F.pmod(F.xxhash64("w"), F.lit(CELLS)).alias("cell")).agg(F.count(F.lit(1)).alias("n"))
     level = F.least(F.lit(240), F.floor(8 * F.log2(F.col("n") + 1))).cast("int")
     found = {r.cell: r.level for r in words.select("cell", level.alias("level")).collect()}
-    return F.split(F.lit(",".join(str(found.get(k, 0)) for k in range(CELLS))), ",").cast("array<int>")
+    hot = sorted(found.get(k, 0) for k in range(CELLS))[CELLS // 2] + 16
+    return hot, F.split(F.lit(",".join(str(found.get(k, 0)) for k in range(CELLS))), ",").cast("array<int>")
 
 
 def coded(line, levels):
     """The sorted codes of a line's distinct words, rarest first."""
     words = F.array_remove(F.split(line, WORDS), "")
     low = F.lit((1 << 55) - 1)
-    code = lambda h: F.shiftleft(F.element_at(levels, F.pmod(h, F.lit(CELLS)).cast("int") + 1).cast("long"), 55).bitwiseOR(h.bitwiseAND(low))
-    return F.sort_array(F.transform(F.array_distinct(F.transform(words, lambda w: F.xxhash64(w))), code))
-
-
-def exploded(docs: DataFrame) -> DataFrame:
-    """doc_id, h, line_no, line: every line of every row; h tells texts of one doc_id apart."""
-    text = whole_text()
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("h"), F.posexplode(F.split(text, "\n")).alias("line_no", "line"))
+    level = lambda h: F.shiftleft(F.element_at(levels, F.pmod(h, F.lit(CELLS)).cast("int") + 1).cast("long"), 55)
+    return F.sort_array(F.array_distinct(F.transform(words, lambda w: level(F.xxhash64(w)).bitwiseOR(F.xxhash64(w).bitwiseAND(low)))))
 
 
 def repeated_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
@@ -56,63 +52,67 @@ def repeated_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
     100 x intersection >= percent x union, whether that line stays or not. Lines
     without words are never removed. Rows with equal doc_id and text are one document."""
     docs = docs.select("doc_id", "text")
-    levels = rarity_levels(docs)
-    one = exploded(docs).distinct() if _has_repeats(docs) else exploded(docs)
-    pos = F.struct("doc_id", "h", "line_no")
+    hot, levels = rarity_levels(docs)
+    pos = F.struct("doc", "line_no")
     need = lambda n: F.expr(f"({percent} * {n} + 99) div 100")
-    codes = one.select("doc_id", "h", "line_no", coded(F.col("line"), levels).alias("codes")).filter("size(codes) > 0").withColumn("n", F.size("codes"))
-    lines = codes.select("doc_id", "h", "line_no", F.xxhash64("codes").alias("f1"), F.xxhash64(F.lit(1), "codes").alias("f2"), "n", F.slice("codes", 1, (F.col("n") - need("n") + 1).cast("int")).alias("prefix"))
-    lines = stored(lines.withColumn("lid", F.monotonically_increasing_id()), "lines")
+    # Documents get ordinals in order, so that a line's place takes two numbers.
+    names = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(whole_text()).alias("h"))
+    n_docs = row_count(docs)
+    ordered = stored(names.distinct().repartitionByRange(max(1, n_docs // 100_000), "doc_id", "h").sortWithinPartitions("doc_id", "h").withColumn("doc", F.monotonically_increasing_id()), "ordinals")
+    n_ordered = row_count(ordered)
+    keyed = docs.withColumn("h", F.xxhash64(whole_text())).withColumn("doc_id", F.col("doc_id").cast("long")).alias("d").join(small_side(ordered, n_ordered, BROADCAST_ROWS).alias("o"), F.expr("d.doc_id <=> o.doc_id and d.h = o.h")).select("o.doc", F.col("d.text").alias("text"))
+    if n_ordered < n_docs:
+        keyed = keyed.dropDuplicates(["doc"])
+    codes = keyed.select("doc", F.posexplode(F.split(whole_text(), "\n")).alias("line_no", "line")).select("doc", "line_no", coded(F.col("line"), levels).alias("codes"))
+    lines = codes.select("doc", "line_no", F.xxhash64("codes").alias("f1"), F.xxhash64(F.lit(1), "codes").alias("f2"), F.size("codes").alias("n"), F.slice("codes", 1, F.greatest(F.lit(0), F.size("codes") - need("size(codes)") + 1).cast("int")).alias("prefix"))
+    lines = stored(lines, "lines").filter("n > 0")
 
     # Equal sets: the first line stands for all.
     several = lines.groupBy("f1", "f2").agg(F.min(pos).alias("first"), F.count(F.lit(1)).alias("members")).filter("members > 1")
     several = stored(several.select(F.struct("f1", "f2").alias("fp"), "first", "members"), "equal-lines")
     n_several = row_count(several)
-    marked = join_groups(lines.withColumn("fp", F.struct("f1", "f2")), several, "fp", "members", row_count(lines), n_several <= BROADCAST_ROWS)
+    n_lines = row_count(lines)
+    marked = join_groups(lines.withColumn("fp", F.struct("f1", "f2")), several, "fp", "members", n_lines, n_several <= BROADCAST_ROWS)
     repeats = F.col("first").isNotNull() & (F.col("first") != pos)
-    equal = marked.filter(repeats).select("doc_id", "h", "line_no")
+    equal = marked.filter(repeats).select("doc", "line_no")
     alone = marked.filter(~F.coalesce(repeats, F.lit(False)))
 
     # Lists: (word, line, place of the word), for words that start more than one line.
-    posts = alone.select("lid", pos.alias("pos"), "n", F.posexplode("prefix").alias("at", "code"))
-    dealt = posts.repartition("code")
-    common = dealt.groupBy("code").agg(F.min("lid").alias("low"), F.max("lid").alias("high")).filter("low <> high").select("code")
-    ranked = dealt.join(common, "code", "left_semi").withColumn("rank", F.row_number().over(Window.partitionBy("code", F.pmod("lid", F.lit(SALT))).orderBy("pos")))
-    lists = stored(ranked.select("code", "lid", "pos", "n", "at", "rank"), "line-lists")
+    # What only one line has is dropped; words of hot cells are dealt out further.
+    posts = alone.select("doc", "line_no", "n", F.posexplode("prefix").alias("at", "code"))
+    salt = F.when(F.shiftright("code", 55) >= hot, F.pmod(F.xxhash64("doc", "line_no"), F.lit(SALT))).otherwise(0)
+    w = Window.partitionBy("code", "salt").orderBy("doc", "line_no")
+    ranked = posts.withColumn("salt", salt).withColumn("rank", F.row_number().over(w)).withColumn("more", F.lead("doc").over(w).isNotNull())
+    lists = stored(ranked.filter((F.col("rank") > 1) | F.col("more") | (F.shiftright("code", 55) >= hot)).select("code", "doc", "line_no", "n", "at", "rank"), "line-lists")
 
     # The whole sets of the lines in lists.
-    some = stored(lists.select("lid", "pos").distinct().select("lid", "pos.*"), "listed")
+    some = stored(lists.select("doc", "line_no").distinct(), "listed")
     n_some = row_count(some)
-    ids = stored(some.select("doc_id").distinct(), "listed-docs")
-    n_ids = row_count(ids)
+    back = lambda found: found.join(small_side(ordered, n_ordered, BROADCAST_ROWS), "doc").select("doc_id", "h", "line_no")
     if not n_some:
-        return equal
-    few = docs.withColumn("doc_id", F.col("doc_id").cast("long")).join(small_side(ids.withColumnRenamed("doc_id", "listed"), n_ids, BROADCAST_ROWS), F.col("doc_id").eqNullSafe(F.col("listed")), "left_semi")
-    again = exploded(few).alias("e").join(small_side(some, n_some, BROADCAST_ROWS).alias("s"), F.expr("e.doc_id <=> s.doc_id and e.h = s.h and e.line_no = s.line_no"))
-    sets = stored(again.select("lid", coded(F.col("line"), levels).alias("codes")).dropDuplicates(["lid"]), "line-sets")
+        return back(equal)
+    ids = stored(some.select("doc").distinct(), "listed-docs")
+    few = keyed.join(small_side(ids, row_count(ids), BROADCAST_ROWS), "doc", "left_semi").select("doc", F.posexplode(F.split(whole_text(), "\n")).alias("line_no", "line"))
+    again = few.join(small_side(some, n_some, BROADCAST_ROWS), ["doc", "line_no"], "left_semi")
+    sets = stored(again.select("doc", "line_no", coded(F.col("line"), levels).alias("codes")), "line-sets")
 
-    found = docs.sparkSession.createDataFrame([], "lid long")
+    found = docs.sparkSession.createDataFrame([], "doc long, line_no int")
     n_found, done, pivots = 0, 0, 1
     deepest = lists.agg(F.max("rank")).first()[0] or 0
     while done < deepest:
-        left = lists.join(small_side(found, n_found, BROADCAST_ROWS), "lid", "left_anti")
-        early = lists.filter((F.col("rank") > done) & (F.col("rank") <= done + pivots)).select("code", F.col("lid").alias("p_lid"), F.col("pos").alias("p_pos"), F.col("n").alias("p_n"), F.col("at").alias("p_at"))
+        left = lists.join(small_side(found, n_found, BROADCAST_ROWS), ["doc", "line_no"], "left_anti")
+        early = lists.filter((F.col("rank") > done) & (F.col("rank") <= done + pivots)).select("code", *[F.col(c).alias(f"p_{c}") for c in ("doc", "line_no", "n", "at")])
         least = F.expr(f"({percent} * (n + p_n) + {99 + percent}) div {100 + percent}")
-        may = (F.col("p_pos") < F.col("pos")) & (100 * F.least("n", "p_n") >= percent * F.greatest("n", "p_n")) & (F.least(F.col("n") - F.col("at"), F.col("p_n") - F.col("p_at")) + F.least("at", "p_at") >= least)
-        pairs = left.join(early, "code").filter(may).select("lid", "p_lid", "n", "p_n").distinct()
-        both = pairs.join(sets, "lid").join(sets.select(F.col("lid").alias("p_lid"), F.col("codes").alias("p_codes")), "p_lid")
+        before = (F.col("p_doc") < F.col("doc")) | ((F.col("p_doc") == F.col("doc")) & (F.col("p_line_no") < F.col("line_no")))
+        may = before & (100 * F.least("n", "p_n") >= percent * F.greatest("n", "p_n")) & (F.least(F.col("n") - F.col("at"), F.col("p_n") - F.col("p_at")) >= least)
+        pairs = left.join(early, "code").filter(may).select("doc", "line_no", "p_doc", "p_line_no").distinct()
+        both = pairs.join(sets, ["doc", "line_no"]).join(sets.select(F.col("doc").alias("p_doc"), F.col("line_no").alias("p_line_no"), F.col("codes").alias("p_codes")), ["p_doc", "p_line_no"])
         shared = F.size(F.array_intersect("codes", "p_codes"))
-        hits = both.filter(100 * shared >= percent * (F.col("n") + F.col("p_n") - shared)).select("lid").distinct()
+        hits = both.filter(100 * shared >= percent * (F.size("codes") + F.size("p_codes") - shared)).select("doc", "line_no").distinct()
         found = stored(found.unionByName(hits), "repeats")
         n_found = row_count(found)
         done, pivots = done + pivots, pivots * 8
-    similar = found.join(lists.select("lid", "pos").distinct(), "lid").select("pos.*")
-    return equal.unionByName(similar)
-
-
-def _has_repeats(docs: DataFrame) -> bool:
-    ids = docs.select("doc_id")
-    return ids.distinct().count() < ids.count()
+    return back(equal.unionByName(found))
 
 
 def dedup_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
