@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairloom.llm.common import ship, whole_text
+from pairloom.llm.common import ship, trim, whole_text
 from pairloom.llm.scanner import chunks, split_texts
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -89,7 +89,7 @@ class PieceCache:
     """piece -> its ids as packed integers. Two generations bound the memory: when the
     young one is full it becomes the old one, and what is met again moves back."""
 
-    def __init__(self, encode_new, limit: int = 500_000):
+    def __init__(self, encode_new, limit: int = 700_000):
         self.encode_new, self.limit = encode_new, limit
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
@@ -161,6 +161,7 @@ def codec(vocabulary: str) -> Codec:
 
 def _rows(batches: Iterator[pa.RecordBatch], limit: int):
     """(keys, texts) in chunks of a bounded number of code points."""
+    trim()
     for batch in batches:
         texts = batch.column(1).to_pylist()
         for part in chunks(zip(batch.column(0).to_pylist(), texts), lambda r: len(r[1]), limit):

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import io
 import os
+import re
 import shutil
 import tempfile
 import uuid
@@ -62,8 +64,24 @@ def drop_scratch(spark: SparkSession) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Bytes of the batches that Python workers get.
+BATCH_BYTES = 8 << 20
+
+
+def trim() -> None:
+    """Gives freed memory back to the system: workers live on from task to task."""
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
+
+
 def ship(spark: SparkSession) -> None:
-    """Sends this package's source to the Python workers once per application."""
+    """Sends this package's source to the Python workers once per application, and bounds
+    the bytes of the batches that they get."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(re.sub(r"\D", "", spark.conf.get(key, str(1 << 26)))) > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
     app = spark.sparkContext.applicationId
     if app in _SHIPPED:
         return

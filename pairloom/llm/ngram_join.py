@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairloom.llm.common import join_groups, planned_bytes, row_count, ship, small_side, stored, whole_text
+from pairloom.llm.common import join_groups, planned_bytes, row_count, ship, small_side, stored, trim, whole_text
 from pairloom.llm.components import components
 from pairloom.llm.scanner import chunks
 from pairloom.llm.words import shingle_sets
@@ -80,6 +80,7 @@ def _prefixes(fragments: int, size: int, percent: int):
     """Map side of the viability test."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trim()
         base = TaskContext.get().partitionId() << 40
         state = {"next": base}
 
@@ -145,6 +146,7 @@ def _shared_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     """A fragment's side of the viability test: how many of each set's shingles here are in
     a different set too. Shingles are told apart by 32 bits within the fragment, which
     can only count too many."""
+    trim()
     inst, fp, counts, alone, multi = [], [], [], [], []
     for batch in batches:
         kind = batch.column(1).to_numpy()
@@ -190,6 +192,7 @@ def _set_chunks(size: int):
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trim()
         base, seq, docs, total = TaskContext.get().partitionId() << 40, 0, [], 0
         for batch in batches:
             for part in chunks(zip(*(c.to_pylist() for c in batch.columns)), lambda r: len(r[1]), BATCH_BYTES):
@@ -302,6 +305,7 @@ def _count_overlaps(buckets: int):
     """A fragment's partial overlaps: shingles that both sets of a pair have here."""
 
     def run(batches):
+        trim()
         parts = [[] for _ in range(7)]
         for batch in batches:
             for x in batch.column(1).to_pylist():

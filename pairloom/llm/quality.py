@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairloom.llm.common import ship, stored, whole_text
+from pairloom.llm.common import ship, stored, trim, whole_text
 from pairloom.llm.scanner import chunks
 from pairloom.llm.words import mixed, word_hashes
 
@@ -172,8 +172,10 @@ def pattern_code(v: np.ndarray) -> np.ndarray:
 
 
 def _batches(batches: Iterator[pa.RecordBatch]):
+    trim()
     for batch in batches:
-        for part in chunks(zip(*(c.to_pylist() for c in batch.columns)), lambda r: len(r[-1])):
+        # A chunk's feature matrix has a row for each text, so short texts count more.
+        for part in chunks(zip(*(c.to_pylist() for c in batch.columns)), lambda r: len(r[-1]) + 1024):
             yield part, text_features([r[-1] for r in part])
 
 
@@ -239,9 +241,10 @@ def good_documents(docs: DataFrame) -> DataFrame:
     at = schema.names.index("text")
 
     def run(batches):
+        trim()
         for batch in batches:
             texts = [t or "" for t in batch.column(at).to_pylist()]
-            keep = np.concatenate([model.score(*text_features(part)) < 0.5 for part in chunks(texts, len)] or [np.empty(0, bool)])
+            keep = np.concatenate([model.score(*text_features(part)) < 0.5 for part in chunks(texts, lambda t: len(t) + 1024)] or [np.empty(0, bool)])
             yield batch.filter(pa.array(keep))
 
     return docs.mapInArrow(run, schema)

@@ -7,8 +7,6 @@ modulo 2**64, brought to a common power and mixed.
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 import numpy as np
 
 SPACE = np.zeros(256, bool)
@@ -29,16 +27,22 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-@lru_cache(maxsize=2)
+_POWERS: dict[int, np.ndarray] = {}
+
+
 def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base, np.uint64)
-    out[0] = 1
-    return np.cumprod(out)
+    """At least n powers; the longest array so far is kept."""
+    if len(_POWERS.get(base, ())) < n:
+        out = np.full(n, base, np.uint64)
+        out[0] = 1
+        _POWERS[base] = np.cumprod(out)
+    return _POWERS[base]
 
 
 def _hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hash and start of every word of the bytes."""
-    n = 1 << max(16, int(len(data)).bit_length())
+    n = max(1 << 16, len(data) + 1)
+    n = BLOCK + 1 if n <= BLOCK else n
     up, down = _powers(BASE, n), _powers(INVERSE, n)
     space = SPACE[data]
     edge = np.flatnonzero(np.diff(np.r_[True, space, True].view(np.uint8)))
