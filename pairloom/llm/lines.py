@@ -111,7 +111,7 @@ def repeated_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
         hits = both.filter(100 * shared >= percent * (F.size("codes") + F.size("p_codes") - shared)).select("doc", "line_no").distinct()
         found = stored(found.unionByName(hits), "repeats")
         n_found = row_count(found)
-        done, pivots = done + pivots, pivots * 8
+        done, pivots = done + pivots, pivots * 64
     return back(equal.unionByName(found))
 
 
