@@ -89,7 +89,7 @@ class PieceCache:
     """piece -> its ids as packed integers. Two generations bound the memory: when the
     young one is full it becomes the old one, and what is met again moves back."""
 
-    def __init__(self, encode_new, limit: int = 700_000):
+    def __init__(self, encode_new, limit: int = 500_000):
         self.encode_new, self.limit = encode_new, limit
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
@@ -130,7 +130,8 @@ class Codec:
         self.lengths = np.fromiter(map(len, tokens), np.int64, size)
         self.places = np.cumsum(self.lengths) - self.lengths
         self.bytes = np.frombuffer(b"".join(tokens), np.uint8)
-        self.cache = PieceCache(self._new)
+        # Workers keep this cache while other operators run in them, so it is a small one.
+        self.cache = PieceCache(self._new, 200_000)
 
     def _new(self, pieces: list[str]) -> list[bytes]:
         return [np.array(merge_piece(p.encode("utf-8", "surrogatepass"), self.ranks), "<u4").tobytes() for p in pieces]
