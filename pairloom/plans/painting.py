@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pairloom.kernels import chain, estimates, states, transforms
+from pairloom.kernels import transitions as rules
 from pairloom.kernels.timing import TimingOptions, pulses
 from pairloom.operators import emissions as E
 from pairloom.operators.islands import runs
@@ -19,6 +20,7 @@ from pairloom.operators.rows import mask_out, query_reference
 
 KEYS = ["sample", "chrom"]
 BATCH_ROWS = 100_000
+RULES = ("adaptive", "boundary_boost", "cooccurrence", "confusion", "momentum", "segment_length", "lookahead", "recency", "disagreement")
 
 
 @dataclass(frozen=True)
@@ -40,6 +42,8 @@ class PaintOptions:
     #: Second pass: each sample's own proportions and switch rates, and transforms by name.
     two_pass: bool = False
     transforms: tuple[tuple[str, tuple[tuple[str, float], ...]], ...] = ()
+    #: A transition rule of the second pass by name, with its parameters.
+    transition: tuple[str, tuple[tuple[str, float], ...]] | None = None
     entropy_smooth: int = 0
     majority_radius: int = 0
     smooth_min_windows: int = 0
@@ -113,7 +117,7 @@ def _decode(groups: list[pd.DataFrame], k: int, switch: float, o: PaintOptions)
     e = np.where(np.isfinite(e), e, -1e3)
     init, trans = np.full((len(groups), k), -math.log(k)), np.broadcast_to(transitions(k, switch), (len(groups), k, k))
     post, path = _pass(e, init, trans, lengths, k, o)
-    if o.two_pass or o.transforms:
+    if o.two_pass or o.transforms or o.transition:
         chosen = {name: dict(params) for name, params in o.transforms}
         if chosen:
             e = e.copy()
@@ -124,6 +128,16 @@ def _decode(groups: list[pd.DataFrame], k: int, switch: float, o: PaintOptions)
             shares = [estimates.proportions(path[i, :n], k) for i, n in enumerate(lengths)]
             init = np.log(np.stack(shares))
             trans = np.log(np.stack([estimates.proportional_transitions(p, estimates.switch_rates(path[i, :n], k)) for i, (p, n) in enumerate(zip(shares, lengths))]))
+        if o.transition:
+            name, params = o.transition
+            if name not in RULES:
+                raise ValueError(f"unknown transition rule {name}")
+            rule = getattr(rules, name)
+            steps = []
+            for i, n in enumerate(lengths):
+                have = {"post": post[i, :n], "states": path[i, :n], "e": e[i, :n]}
+                steps.append(rule(trans[i], **{a: have[a] for a in have if a in rule.__code__.co_varnames[: rule.__code__.co_argcount]}, **dict(params)))
+            trans = chain.stack(steps)[0]
         post, path = _pass(e, init, trans, lengths, k, o)
     out = []
     for i, (g, n) in enumerate(zip(groups, lengths)):

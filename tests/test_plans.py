@@ -46,7 +46,7 @@ def test_golden_painting(spark):
     assert timing_of(paint(raw, pops, ["CHILD"], PaintOptions(estimate=True))).count() == 4
 
 
-@pytest.mark.parametrize("options", [{"two_pass": True}, {"transforms": (("center", ()), ("residual", (("factor", 1.2),)), ("persistence", ()))}, {"decoding": "posterior", "entropy_smooth": 2}, {"emission_context": 1, "majority_radius": 2}, {"contrast": True, "consistency_weight": 0.3}, {"emission_model": "mean", "smooth_min_windows": 3}, {"emission_model": "top", "posterior_smooth": True, "smooth_min_windows": 3}, {"emission_model": "median", "label_smooth": 0.05}])
+@pytest.mark.parametrize("options", [{"two_pass": True}, {"transforms": (("center", ()), ("residual", (("factor", 1.2),)), ("persistence", ()))}, {"decoding": "posterior", "entropy_smooth": 2}, {"emission_context": 1, "majority_radius": 2}, {"contrast": True, "consistency_weight": 0.3}, {"emission_model": "mean", "smooth_min_windows": 3}, {"emission_model": "top", "posterior_smooth": True, "smooth_min_windows": 3}, {"emission_model": "median", "label_smooth": 0.05}, {"transition": ("momentum", ())}, {"transition": ("lookahead", (("radius", 2),)), "two_pass": True}])
 def test_paint_options_find_the_quarters(spark, options):
     pops = spark.createDataFrame([(f"GP{k}", f"GP{k}") for k in range(1, 5)], "population string, haplotype string")
     raw = frame(spark, mosaic()).selectExpr("chrom", "start_bp", "end_bp", "group_a as hap_a", "group_b as hap_b", "identity")
