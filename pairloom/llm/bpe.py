@@ -167,6 +167,7 @@ def _rows(batches: Iterator[pa.RecordBatch], limit: int):
         texts = batch.column(1).to_pylist()
         for part in chunks(zip(batch.column(0).to_pylist(), texts), lambda r: len(r[1]), limit):
             yield [r[0] for r in part], [r[1] for r in part]
+    trim()
 
 
 def encode_documents(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
@@ -177,7 +178,7 @@ def encode_documents(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame
 
     def run(batches):
         c = codec(vocabulary)
-        for keys, texts in _rows(batches, 1 << 20):
+        for keys, texts in _rows(batches, 1 << 19):
             ids = [np.frombuffer(x, "<u4") for x in c.encode(texts)]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(keys, pa.int64()), pa.array([x.astype(np.int32) for x in ids], pa.list_(pa.int32())), pa.array([c.offsets(x).astype(np.int32) for x in ids], pa.list_(pa.int32()))],
@@ -208,7 +209,7 @@ def round_trip(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
 
     def run(batches):
         c = codec(vocabulary)
-        for keys, texts in _rows(batches, 1 << 20):
+        for keys, texts in _rows(batches, 1 << 19):
             ids = c.encode(texts)
             yield pa.RecordBatch.from_arrays(
                 [

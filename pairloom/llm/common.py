@@ -13,6 +13,7 @@ import uuid
 import zipfile
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -69,9 +70,13 @@ BATCH_BYTES = 8 << 20
 
 
 def trim() -> None:
-    """Gives freed memory back to the system: workers live on from task to task."""
+    """Gives freed memory back to the system, and has large arrays allocated so that they
+    are given back when freed: workers live on from task to task."""
+    pa.default_memory_pool().release_unused()
     try:
-        ctypes.CDLL("libc.so.6").malloc_trim(0)
+        libc = ctypes.CDLL("libc.so.6")
+        libc.mallopt(-3, 2 << 20)  # M_MMAP_THRESHOLD
+        libc.malloc_trim(0)
     except (OSError, AttributeError):
         pass
 

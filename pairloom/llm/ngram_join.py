@@ -43,9 +43,9 @@ BROADCAST_ROWS = 500_000
 BUFFER, FRAGMENT_BYTES, MAX_FRAGMENTS = 1 << 20, 16 << 20, 65_536
 #: Share of the hash range in which nearly all prefixes lie.
 PREFIX_RANGE = 0.45
-CHUNK_SHINGLES, CHUNK_DOCS = 1 << 19, 1 << 16
+CHUNK_SHINGLES, CHUNK_DOCS = 1 << 18, 1 << 16
 HEAD, HEAD_BYTES = "<III", 12
-BATCH_BYTES = 1 << 21
+BATCH_BYTES = 1 << 20
 
 
 def needed(n: np.ndarray, percent: int) -> np.ndarray:
@@ -138,6 +138,8 @@ def _prefixes(fragments: int, size: int, percent: int):
                     yield from flush(docs, seen, sets)
                     docs, seen, sets, total = [], {}, [], 0
         yield from flush(docs, seen, sets)
+        docs, seen, sets = [], {}, []
+        trim()
 
     return run
 

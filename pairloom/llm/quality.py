@@ -175,8 +175,9 @@ def _batches(batches: Iterator[pa.RecordBatch]):
     trim()
     for batch in batches:
         # A chunk's feature matrix has a row for each text, so short texts count more.
-        for part in chunks(zip(*(c.to_pylist() for c in batch.columns)), lambda r: len(r[-1]) + 1024):
+        for part in chunks(zip(*(c.to_pylist() for c in batch.columns)), lambda r: len(r[-1]) + 512, 1 << 18):
             yield part, text_features([r[-1] for r in part])
+    trim()
 
 
 def fit_quality(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> QualityModel:
@@ -244,7 +245,8 @@ def good_documents(docs: DataFrame) -> DataFrame:
         trim()
         for batch in batches:
             texts = [t or "" for t in batch.column(at).to_pylist()]
-            keep = np.concatenate([model.score(*text_features(part)) < 0.5 for part in chunks(texts, lambda t: len(t) + 1024)] or [np.empty(0, bool)])
+            keep = np.concatenate([model.score(*text_features(part)) < 0.5 for part in chunks(texts, lambda t: len(t) + 512, 1 << 18)] or [np.empty(0, bool)])
             yield batch.filter(pa.array(keep))
+        trim()
 
     return docs.mapInArrow(run, schema)
