@@ -66,19 +66,30 @@ class Automaton:
 
     def __init__(self):
         self.stops: list[int] = [0]
+        self.cuts: list[int] = [0]  # values of which only the symbols so far are known
+        self.tail: dict[str, int] = {}  # symbols of such values
+        self._known: dict[int, tuple[dict[str, tuple[int, float]], float, int]] = {}
         self.next: list[dict[str, list[int]]] = [{}]  # symbol -> [state, times]
 
     def add(self, value: str) -> None:
-        state = 0
+        """Counts a value, of a longer one its first SAMPLE_LENGTH symbols and no end."""
+        state, whole = 0, len(value) <= SAMPLE_LENGTH
+        value = value[:SAMPLE_LENGTH]
         for c in value:
             edge = self.next[state].get(c)
             if edge is None:
                 self.stops.append(0)
+                self.cuts.append(0)
                 self.next.append({})
                 edge = self.next[state][c] = [len(self.stops) - 1, 0]
             edge[1] += 1
             state = edge[0]
-        self.stops[state] += 1
+        if whole:
+            self.stops[state] += 1
+            return
+        self.cuts[state] += 1
+        for c in value:
+            self.tail[c] = self.tail.get(c, 0) + 1
 
     def visits(self, state: int) -> int:
         return self.stops[state] + sum(n for _, n in self.next[state].values())
@@ -109,6 +120,7 @@ class Automaton:
         while todo:
             a, b = todo.pop()
             self.stops[a] += self.stops[b]
+            self.cuts[a] += self.cuts[b]
             for c, (t, n) in self.next[b].items():
                 if (edge := self.next[a].get(c)) is None:
                     self.next[a][c] = [t, n]
@@ -136,21 +148,40 @@ class Automaton:
                         old, edge[0] = edge[0], same
                         self._fold(same, old)
             layer = kept
+        self._known.clear()
         return self
 
-    def score(self, value: str, unseen: float = 1e-3) -> float:
-        """Log-likelihood a symbol; a symbol or an end that a state never saw costs `unseen`."""
+    def _costs(self, state: int, unseen: float) -> tuple[dict[str, tuple[int, float]], float, int]:
+        """Of a state (-1: after the sampled part of a longer value): the next state and the
+        log-likelihood of each symbol, that of an end, and where other symbols lead."""
+        if state < 0:
+            total = sum(self.tail.values())
+            return {c: (-1, log(n / total)) for c, n in self.tail.items()}, log(unseen), -1
+        n = self.visits(state) + self.cuts[state]
+        edges = {c: (t, log(k / n)) for c, (t, k) in self.next[state].items()}
+        if self.cuts[state]:
+            edges = {c: (-1, v + log(self.cuts[state] / n)) for c, (_, v) in self._costs(-1, unseen)[0].items()} | edges
+        after = max(self.next[state].values(), key=lambda e: e[1], default=[-1 if self.cuts[state] else state])[0]
+        return edges, log(max(self.stops[state] / n, unseen)) if n else log(unseen), after
+
+    def score(self, value: str, unseen: float = 1e-3, end: bool = True) -> float:
+        """Log-likelihood a symbol of the whole value; a symbol or an end that a state never
+        saw costs `unseen`, and the commonest edge is taken. Without `end` the value
+        is one that was cut."""
         state, total = 0, 0.0
         for c in value:
-            n = self.visits(state)
-            edge = self.next[state].get(c)
-            if edge is None:
-                return (total + log(unseen) * (len(value) + 1)) / (len(value) + 1)
-            total += log(edge[1] / n)
-            state = edge[0]
-        n = self.visits(state)
-        total += log(max(self.stops[state] / n, unseen))
-        return total / (len(value) + 1)
+            if (known := self._known.get(state)) is None:
+                known = self._known[state] = self._costs(state, unseen)
+            state, cost = known[0].get(c) or (known[2], log(unseen))
+            total += cost
+        if not end:
+            return total / max(len(value), 1)
+        return (total + self._costs(state, unseen)[1]) / (len(value) + 1)
+
+    def usual(self) -> float:
+        """Mean log-likelihood of a symbol after the sampled part."""
+        total = sum(self.tail.values())
+        return sum(n * log(n / total) for n in self.tail.values()) / total
 
 
 def learned(values: list[str]) -> Automaton:
@@ -163,30 +194,35 @@ def learned(values: list[str]) -> Automaton:
 class Formats:
     """Automata of all kinds, the least score that counts, and the plain frequencies. The
     least score is what all but a twentieth of labelled values reach under an automaton
-    fitted on the other half of them, with some slack."""
+    fitted on the other half of them, with some slack; symbols after the sampled part are
+    held against their own mean, as values say nothing of them."""
 
     def __init__(self, labelled: dict[str, list[str]]):
         self.automata: dict[str, tuple[Automaton, float]] = {}
         counts: dict[str, int] = {}
         for kind, values in labelled.items():
-            values = [v[:SAMPLE_LENGTH] for v in values]
             if len(values) < 8:
                 continue
             half = learned(values[::2])
-            scores = sorted(half.score(v) for v in values[1::2])
+            scores = sorted(half.score(v[:SAMPLE_LENGTH], end=len(v) <= SAMPLE_LENGTH) for v in values[1::2])
             self.automata[kind] = (learned(values), scores[ceil(len(scores) * 0.05) - 1] * SLACK)
             for v in values:
-                for c in v:
+                for c in v[:SAMPLE_LENGTH]:
                     counts[c] = counts.get(c, 0) + 1
         total = sum(counts.values())
         self.plain = {c: log(n / total) for c, n in counts.items()}
         self.rare = log(1 / (total + 68)) if total else 0.0
 
+    @staticmethod
+    def _least(a: Automaton, least: float, n: int) -> float:
+        if n <= SAMPLE_LENGTH or not a.tail:
+            return least
+        return (least * (SAMPLE_LENGTH + 1) + a.usual() * SLACK * (n - SAMPLE_LENGTH)) / (n + 1)
+
     def best(self, value: str) -> str | None:
         """The kind whose format the value fits best, if it fits one."""
-        value = value[:SAMPLE_LENGTH]
         plain = sum(self.plain.get(c, self.rare) for c in value) / (len(value) + 1)
-        found = [(s, kind) for kind, (a, least) in self.automata.items() if (s := a.score(value)) >= least and s > plain]
+        found = [(s, kind) for kind, (a, least) in self.automata.items() if (s := a.score(value)) >= self._least(a, least, len(value)) and s > plain]
         return max(found)[1] if found else None
 
 
@@ -214,8 +250,9 @@ def find_spans(docs: DataFrame) -> DataFrame:
 
 def fit_formats(found: DataFrame, sample: int = SAMPLE_VALUES) -> Formats:
     """Automata from at most `sample` distinct values a kind: those with the smallest
-    hashes, whatever the partitions. Nothing else reaches the driver."""
-    values = found.select(F.explode("base").alias("b")).select("b.kind", F.substring("b.value", 1, SAMPLE_LENGTH).alias("value"))
+    hashes, whatever the partitions. Nothing else reaches the driver; one symbol over
+    SAMPLE_LENGTH tells that a value goes on."""
+    values = found.select(F.explode("base").alias("b")).select("b.kind", F.substring("b.value", 1, SAMPLE_LENGTH + 1).alias("value"))
     labelled = {}
     for k, kind in enumerate(KINDS):
         of_kind = values.filter(F.col("kind") == k).select("value", F.xxhash64("value").alias("h")).distinct()

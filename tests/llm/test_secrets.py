@@ -81,3 +81,14 @@ def test_counts_survive_merging():
     assert a.visits(0) == 4
     a.fit()
     assert a.visits(0) == 4 and a.score("ab") < 0
+
+
+def test_long_values_are_scored_whole():
+    rnd = random.Random(3)
+    symbols = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_"
+    jwt = lambda n: "eyJhbGciOiJIUzI1NiIsInR5cCI6IkpXVCJ9." + key(rnd, symbols, n)
+    formats = Formats({"assign": [jwt(rnd.randrange(120, 300)) for _ in range(300)], "access": [], "hex": []})
+    longer = [jwt(rnd.randrange(120, 300)) for _ in range(100)]
+    assert sum(formats.best(v) == "assign" for v in longer) >= 90
+    assert not any(formats.best(v + "/+" * 200) for v in longer)
+    assert sum(formats.automata["assign"][0].stops) == 0
