@@ -4,9 +4,10 @@ Matches of the fixed formats are labelled credentials. From a bounded sample of
 a prefix tree is built for each kind, and states that are statistically compatible
 (Hoeffding's bound on the frequencies of stopping and of each next symbol, here and
 in all that follows) are merged into a probabilistic automaton. Every other token of
-a text that could be a key is scored by its likelihood per symbol under each
-automaton, against that under the symbols' plain frequencies; those that fit a format
-as well as the labelled ones do are added.
+a text, and every part of it between cut symbols, that is as long as the shortest
+labelled value is scored by its likelihood per symbol under each automaton, against
+that under the symbols' plain frequencies; those that fit a format as well as the
+labelled ones do are added.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 from math import ceil, log, sqrt
 
 import pyarrow as pa
@@ -27,14 +29,15 @@ KINDS = ("assign", "access", "hex")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{16,}")
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]+")
+#: A key may also begin or end beside these symbols of a candidate.
+CUT = re.compile(r"[=/.]")
 #: Words one of which every match of ASSIGN has, in lower case.
 ASSIGN_WORDS = ("passw", "secret", "token", "apikey", "api_key")
 #: Bounds of the sample that automata are fitted on: values a kind, and symbols a value.
 SAMPLE_VALUES, SAMPLE_LENGTH = 400, 128
 ALPHA = 1e-3
 SLACK = 1.1
-MIN_LENGTH = 16
 
 
 def base_spans(text: str) -> list[tuple[int, int, int, str]]:
@@ -51,13 +54,29 @@ def base_spans(text: str) -> list[tuple[int, int, int, str]]:
     return sorted(found)
 
 
-def candidates(text: str, base: list[tuple[int, int, int, str]]) -> list[tuple[int, int, str]]:
-    """Tokens that could be keys: long, with a digit, and apart from the base spans."""
-    out = []
+def candidates(text: str, base: list[tuple[int, int, int, str]], least: int = 1) -> list[tuple[int, int, str]]:
+    """Tokens that could be keys, of `least` symbols or more: what base spans leave of each."""
+    out, k = [], 0
+    covered: list[list[int]] = []
+    for s, _, e, _ in base:
+        if covered and s <= covered[-1][1]:
+            covered[-1][1] = max(covered[-1][1], e)
+        else:
+            covered.append([s, e])
     for m in CANDIDATE.finditer(text):
         a, b = m.span()
-        if any(c.isdigit() for c in m[0]) and not any(s < b and a < e for s, _, e, _ in base):
-            out.append((a, b, m[0]))
+        if b - a < least:
+            continue
+        while k < len(covered) and covered[k][1] <= a:
+            k += 1
+        at = k
+        while at < len(covered) and covered[at][0] < b:
+            if covered[at][0] - a >= least:
+                out.append((a, covered[at][0], text[a : covered[at][0]]))
+            a = max(a, covered[at][1])
+            at += 1
+        if b - a >= least:
+            out.append((a, b, text[a:b]))
     return out
 
 
@@ -178,6 +197,22 @@ class Automaton:
             return total / max(len(value), 1)
         return (total + self._costs(state, unseen)[1]) / (len(value) + 1)
 
+    def scores(self, value: str, start: int, places: set[int], least: float, unseen: float = 1e-3) -> Iterator[tuple[int, float]]:
+        """(end, score) of the parts of a value from start to each place, in one pass. It ends
+        where nothing is known any more and longer parts only fall further below least."""
+        state, total = 0, 0.0
+        for at in range(start, len(value)):
+            if (known := self._known.get(state)) is None:
+                known = self._known[state] = self._costs(state, unseen)
+            if not known[0] and not self.tail and log(unseen) < least and total < least * (at - start + 1):
+                return
+            state, cost = known[0].get(value[at]) or (known[2], log(unseen))
+            total += cost
+            if at + 1 in places:
+                if state not in self._known:
+                    self._known[state] = self._costs(state, unseen)
+                yield at + 1, (total + self._known[state][1]) / (at + 2 - start)
+
     def usual(self) -> float:
         """Mean log-likelihood of a symbol after the sampled part."""
         total = sum(self.tail.values())
@@ -197,12 +232,15 @@ class Formats:
     fitted on the other half of them, with some slack; symbols after the sampled part are
     held against their own mean, as values say nothing of them."""
 
-    def __init__(self, labelled: dict[str, list[str]]):
+    def __init__(self, labelled: dict[str, list[str]], shortest: dict[str, int] | None = None):
+        """shortest: lengths of all labelled values' shortest, where labelled is a sample."""
         self.automata: dict[str, tuple[Automaton, float]] = {}
+        self.shortest: dict[str, int] = {}
         counts: dict[str, int] = {}
         for kind, values in labelled.items():
             if len(values) < 8:
                 continue
+            self.shortest[kind] = (shortest or {}).get(kind) or min(map(len, values))
             half = learned(values[::2])
             scores = sorted(half.score(v[:SAMPLE_LENGTH], end=len(v) <= SAMPLE_LENGTH) for v in values[1::2])
             self.automata[kind] = (learned(values), scores[ceil(len(scores) * 0.05) - 1] * SLACK)
@@ -225,63 +263,90 @@ class Formats:
         found = [(s, kind) for kind, (a, least) in self.automata.items() if (s := a.score(value)) >= self._least(a, least, len(value)) and s > plain]
         return max(found)[1] if found else None
 
-
-_SPAN = pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32()), ("value", pa.string())])
-_TOKEN = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("value", pa.string())])
-
-
-def find_spans(docs: DataFrame) -> DataFrame:
-    """doc_id, base array<struct>, tokens array<struct>: fixed-format spans of every whole
-    text (null: empty) in code points, and the tokens left to score."""
+    def least_length(self) -> int | None:
+        """Symbols of the shortest token to score; None: there is no format."""
+        return min(self.shortest.values(), default=None)
+
+    def parts(self, token: str) -> list[tuple[int, int, str]]:
+        """(start, end, kind) of what fits a format in a token, cut anywhere beside =, / and
+        dots: from left to right the longest, of the kind that it fits best."""
+        places = {0, len(token)}
+        for m in CUT.finditer(token):
+            places |= {m.start(), m.end()}
+        sums = [0.0]
+        for c in token:
+            sums.append(sums[-1] + self.plain.get(c, self.rare))
+        out: list[tuple[int, int, str]] = []
+        for a in sorted(places):
+            if out and a < out[-1][1]:
+                continue
+            found = []
+            for kind, (automaton, least) in self.automata.items():
+                if len(token) - a < self.shortest[kind]:
+                    continue
+                for b, s in automaton.scores(token, a, places, least):
+                    n = b - a
+                    if n >= self.shortest[kind] and s >= self._least(automaton, least, n) and s > (sums[b] - sums[a]) / (n + 1):
+                        found.append((b, s, kind))
+            if found:
+                b, _, kind = max(found)
+                out.append((a, b, kind))
+        return out
+
+
+def labelled_values(docs: DataFrame) -> DataFrame:
+    """kind, value, length of every fixed-format span of the whole texts (null: empty);
+    one symbol over SAMPLE_LENGTH tells that a value goes on."""
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            base, tokens = [], []
-            for text in batch.column(1).to_pylist():
-                spans = base_spans(text)
-                base.append([{"start": s, "kind": k, "end": e, "value": v} for s, k, e, v in spans])
-                tokens.append([{"start": s, "end": e, "value": v} for s, e, v in candidates(text, spans)])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(base, pa.list_(_SPAN)), pa.array(tokens, pa.list_(_TOKEN))], ["doc_id", "base", "tokens"])
+            found = [(k, v[: SAMPLE_LENGTH + 1], len(v)) for text in batch.column(0).to_pylist() for _, k, _, v in base_spans(text)]
+            cols = list(zip(*found)) or [[]] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.string(), pa.int32()))], ["kind", "value", "length"])
 
-    schema = "doc_id long, base array<struct<start int, kind int, end int, value string>>, tokens array<struct<start int, end int, value string>>"
-    return docs.select(F.col("doc_id").cast("long"), whole_text().alias("text")).mapInArrow(run, schema)
+    return docs.select(whole_text().alias("text")).mapInArrow(run, "kind int, value string, length int")
 
 
-def fit_formats(found: DataFrame, sample: int = SAMPLE_VALUES) -> Formats:
+def fit_formats(values: DataFrame, sample: int = SAMPLE_VALUES) -> Formats:
     """Automata from at most `sample` distinct values a kind: those with the smallest
-    hashes, whatever the partitions. Nothing else reaches the driver; one symbol over
-    SAMPLE_LENGTH tells that a value goes on."""
-    values = found.select(F.explode("base").alias("b")).select("b.kind", F.substring("b.value", 1, SAMPLE_LENGTH + 1).alias("value"))
+    hashes, whatever the partitions. Beside them only the shortest lengths reach the driver."""
     labelled = {}
     for k, kind in enumerate(KINDS):
         of_kind = values.filter(F.col("kind") == k).select("value", F.xxhash64("value").alias("h")).distinct()
         labelled[kind] = [r.value for r in of_kind.orderBy("h", "value").limit(sample).collect()]
-    return Formats(labelled)
+    shortest = {KINDS[r.kind]: r.n for r in values.groupBy("kind").agg(F.min("length").alias("n")).collect()}
+    return Formats(labelled, shortest)
 
 
 def scan_secrets(docs: DataFrame, sample: int = SAMPLE_VALUES) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_added of every row.
 
-    The text is read once: spans and candidate tokens are stored, automata are fitted
-    on the stored spans, and the tokens scored. spans lists all spans as
-    kind:start:end by start, then kind; added ones are called like_<kind>. Null and
-    empty texts have none; repeated rows give repeated rows; with under 8 labelled
-    values of a kind it adds nothing."""
-    found = stored(find_spans(docs), "secret-spans")
-    formats = fit_formats(found, sample)
+    The text is read twice: labelled values are stored and automata fitted on them, then
+    the tokens are scored where they stand. spans lists all spans as kind:start:end by
+    start, then kind; added ones are called like_<kind>. Null and empty texts have
+    none; repeated rows give repeated rows; with under 8 labelled values of a kind it
+    adds nothing."""
+    formats = fit_formats(stored(labelled_values(docs), "secret-values"), sample)
+    least = formats.least_length()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        short = lru_cache(1 << 16)(formats.parts)
         for batch in batches:
             out = []
-            for doc_id, base, tokens in zip(*(c.to_pylist() for c in batch.columns)):
-                own = [(b["start"], b["kind"], b["end"], KINDS[b["kind"]]) for b in base]
-                added = [(t["start"], len(KINDS) + KINDS.index(kind), t["end"], f"like_{kind}") for t in tokens if (kind := formats.best(t["value"]))]
+            for doc_id, body in zip(*(c.to_pylist() for c in batch.columns)):
+                base = base_spans(body)
+                own = [(s, k, e, KINDS[k]) for s, k, e, _ in base]
+                added = []
+                for at, _, token in candidates(body, base, least) if least else ():
+                    for s, e, kind in (short if len(token) <= SAMPLE_LENGTH else formats.parts)(token):
+                        added.append((at + s, len(KINDS) + KINDS.index(kind), at + e, f"like_{kind}"))
                 text = lambda spans: ",".join(f"{name}:{s}:{e}" for s, _, e, name in sorted(spans))
-                n = [sum(b["kind"] == k for b in base) for k in range(len(KINDS))]
+                n = [sum(k == j for _, j, _, _ in base) for k in range(len(KINDS))]
                 out.append((doc_id, *n, hashlib.sha256(text(own).encode()).hexdigest(), text(own + added), len(added)))
             cols = list(zip(*out)) or [[]] * 7
             types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_added"])
 
-    return found.mapInArrow(run, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_added long")
+    texts = docs.select(F.col("doc_id").cast("long"), whole_text().alias("text"))
+    return texts.mapInArrow(run, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_added long")

@@ -92,3 +92,16 @@ def test_long_values_are_scored_whole():
     assert sum(formats.best(v) == "assign" for v in longer) >= 90
     assert not any(formats.best(v + "/+" * 200) for v in longer)
     assert sum(formats.automata["assign"][0].stops) == 0
+
+
+def test_short_and_embedded_keys_are_found(spark):
+    rnd = random.Random(4)
+    fixed = lambda: "kx" + key(rnd, "qwz", 6) + "-" + key(rnd, "HJK", 3)
+    keys = [fixed() for _ in range(5)]
+    rows = [(i, f"token: {fixed()}") for i in range(300)]
+    rows += [(1000, f"a letter {keys[0]} alone"), (1001, f"?auth={keys[1]}&x"), (1002, f"see host/x/{keys[2]}."), (1003, f"{keys[3]}/token={keys[4]}"), (1004, "some ordinary words of longer sentences here")]
+    got = {r.doc_id: r for r in scan_secrets(documents(spark, rows)).filter("doc_id >= 1000").collect()}
+    for i, at in ((1000, 9), (1001, 6), (1002, 11)):
+        assert got[i].spans == f"like_assign:{at}:{at + 12}", got[i]
+    assert got[1003].spans == "like_assign:0:12,assign:13:31" and got[1003].n_added == 1
+    assert got[1004].spans == ""
