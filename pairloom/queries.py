@@ -496,14 +496,14 @@ def ibd_posteriors(spark, sf_dir):
     """Decoded windows with trained parameters; not for SQL (Baum-Welch)."""
     from pairloom.plans.pairs import PairOptions, decode_windows
 
-    return decode_windows(V.similarity(spark, sf_dir), PairOptions(rounds=5))
+    return decode_windows(V.similarity(spark, sf_dir), PairOptions())
 
 
 @query()
 def ibd_segments(spark, sf_dir):
     from pairloom.plans.pairs import PairOptions, detect_shared
 
-    return detect_shared(V.similarity(spark, sf_dir), PairOptions(min_len_bp=50_000, min_lod=1.0, rounds=5))
+    return detect_shared(V.similarity(spark, sf_dir), PairOptions(min_len_bp=50_000, min_lod=1.0))
 
 
 @query()

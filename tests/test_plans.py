@@ -117,3 +117,16 @@ def test_timing_separates_two_pulses():
 def test_short_pairs_give_nothing(spark):
     rows = [("chr1", 1, 10, "A#1", "B#1", 0.999), ("chr1", 11, 20, "A#1", "B#1", 0.999)]
     assert decode_windows(load_pairs(frame(spark, rows))).count() == 0 and detect_shared(load_pairs(frame(spark, []))).count() == 0
+
+
+def test_registered_queries_train_for_all_rounds(monkeypatch):
+    from pairloom import queries
+    from pairloom.plans import pairs
+
+    seen = []
+    monkeypatch.setattr(queries.V, "similarity", lambda *_: None)
+    for name in ("decode_windows", "detect_shared"):
+        monkeypatch.setattr(pairs, name, lambda _, o: seen.append(o.rounds))
+    queries.ibd_posteriors(None, "")
+    queries.ibd_segments(None, "")
+    assert seen == [PairOptions().rounds] * 2
