@@ -180,17 +180,3 @@ def copying(sims: np.ndarray, groups: np.ndarray, k: int, switch: float, fractio
     path = groups[chain.viterbi(e, init, t, lengths)[0]]
     post = chain.posteriors(e, init, t, lengths)[0][0]
     return path, np.stack([post[:, groups == p].sum(1) for p in range(k)], 1)
-
-
-def merge_tolerant(segments: list[tuple[int, int, float]]) -> list[tuple[int, int, float]]:
-    """(first, last, identity sum) in order: overlapping ones become one; a later one adds the
-    part of its sum that its windows beyond the overlap have."""
-    out: list[tuple[int, int, float]] = []
-    for a, b, s in sorted(segments):
-        if out and a <= out[-1][1]:
-            f, last, total = out[-1]
-            fresh = max(0, b - last) / (b - a + 1)
-            out[-1] = (f, max(last, b), total + s * fresh)
-        else:
-            out.append((a, b, s))
-    return out

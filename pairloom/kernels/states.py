@@ -54,28 +54,15 @@ def match_switches(ours, truth, tolerance: float) -> dict:
     return {"matched": hit, "missed": len(truth) - hit, "spurious": len(free), "precision": hit / len(ours) if len(ours) else 0.0, "recall": hit / len(truth) if len(truth) else 1.0, "mean_distance": float(np.mean(distances)) if distances else 0.0}
 
 
-def tolerant_runs(values, called, least: float, drop: float, max_gap: int, min_windows: int) -> list[tuple[int, int, int, float, float]]:
-    """Runs of windows at least - drop or above, over a grid in which windows may be missing.
-    All missing windows of a run count against max_gap, not consecutive ones only.
-    Returns first, last, called windows, mean and least value."""
-    out, run, gaps = [], [], 0
-
-    def close():
-        nonlocal run, gaps
-        if run and run[-1] - run[0] + 1 >= min_windows:
-            v = [values[i] for i in run]
-            out.append((run[0], run[-1], len(run), float(np.mean(v)), float(min(v))))
-        run, gaps = [], 0
-
-    for i, ok in enumerate(called):
-        if not ok:
-            if run:
-                gaps += 1
-                if gaps > max_gap:
-                    close()
-        elif values[i] >= least - drop:
-            run.append(i)
-        else:
-            close()
-    close()
-    return out
+def correct_short(states, posteriors, min_run: int) -> np.ndarray:
+    """Runs shorter than min_run join the neighbouring run whose state has the higher mean
+    posterior over them, from left to right. (Known from one sentence; inferred.)"""
+    s, p = np.array(states, int), np.asarray(posteriors, float)
+    i = 0
+    while i < len(s):
+        j = _ends(s, i)
+        sides = ([s[i - 1]] if i else []) + ([s[j]] if j < len(s) else [])
+        if j - i < min_run and sides:
+            s[i:j] = max(sides, key=lambda q: p[i:j, q].mean())
+        i = j
+    return s

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass, replace
 
 import numpy as np
@@ -135,11 +136,12 @@ def robust(p: Params, x: np.ndarray, pop: str, window: int, in_logits: bool = Fa
     return p
 
 
-def train(params: list[Params], xs: list[np.ndarray], pop: str, window: int, rounds: int, tol: float = 1e-6, in_logits: bool = False, extra: list[np.ndarray] | None = None) -> list[Params]:
+def train(params: list[Params], xs: list[np.ndarray], pop: str, window: int, rounds: int, tol: float = 1e-6, in_logits: bool = False, extra: list[np.ndarray] | None = None, step_of: Callable[[int, Params], np.ndarray] | None = None) -> list[Params]:
     """Baum-Welch of means, deviations and transitions, each sequence with its own
     parameters, all sequences in one sweep. Bounds keep the states apart; where they
     would cross, both emissions start anew. Sequences of under 10 windows stay. extra
-    adds fixed log emissions of other observations."""
+    adds fixed log emissions of other observations; step_of gives a sequence's log matrix
+    for each step, scaled from its parameters, which stay those of one window."""
     params = list(params)
     live = [k for k, x in enumerate(xs) if len(x) >= 10]
     last = dict.fromkeys(live, -math.inf)
@@ -150,7 +152,7 @@ def train(params: list[Params], xs: list[np.ndarray], pop: str, window: int, rou
         obs, lengths = chain.stack([np.asarray(xs[k], float) for k in live])
         emit, _ = chain.stack([params[k].emissions(xs[k]) + (extra[k] if extra else 0.0) for k in live])
         start = np.stack([params[k].log_start() for k in live])
-        trans = np.stack([params[k].log_trans() for k in live])
+        trans = chain.stack([step_of(k, params[k]) for k in live])[0] if step_of else np.stack([params[k].log_trans() for k in live])
         alpha, ll = chain.forward(emit, start, trans, lengths)
         beta = chain.backward(emit, trans, lengths)
         moving = [i for i, k in enumerate(live) if not abs(ll[i] - last[k]) < tol]
@@ -161,7 +163,7 @@ def train(params: list[Params], xs: list[np.ndarray], pop: str, window: int, rou
         valid = np.arange(obs.shape[1]) < lengths[:, None]
         joint = alpha + beta
         gamma = np.exp(joint - np.logaddexp(joint[..., 0], joint[..., 1])[..., None]) * valid[..., None]
-        xi = alpha[:, :-1, :, None] + trans[:, None] + (emit + beta)[:, 1:, None, :]
+        xi = alpha[:, :-1, :, None] + (trans if step_of else trans[:, None]) + (emit + beta)[:, 1:, None, :]
         xi = np.exp(xi - xi.max(axis=(2, 3), keepdims=True))
         xi = (xi / xi.sum(axis=(2, 3), keepdims=True) * valid[:, 1:, None, None]).sum(1)
         size = gamma.sum(1)
@@ -206,6 +208,39 @@ def distance_transitions(p: Params, starts: np.ndarray, ends: np.ndarray) -> np.
     return np.log(np.stack([np.stack([1 - enter, enter], -1), np.stack([leave, 1 - leave], -1)], -2))
 
 
+def map_transitions(p: Params, middle: np.ndarray, cm: np.ndarray, cm_next: np.ndarray, window: int) -> np.ndarray:
+    """A log matrix for each step by the genetic map: rates -ln(1 - p) times the step's map
+    distance over that of one window at its start (one centimorgan a megabase where the map
+    has none); leaving also by one plus Haldane's recombination fraction. Chromosomes
+    without a map, steps without distance and windows of size 0 take p as it is."""
+    d = np.abs(np.diff(cm))
+    nominal = np.abs(cm_next - cm)[:-1]
+    scale = d / np.where(nominal > 0, nominal, max(window, 1) / 1e6)
+    more = 1 + 0.5 * -np.expm1(-d / 50)
+    plain = (np.diff(middle) == 0) | (window == 0) | ~np.isfinite(scale)
+    prob = lambda q, x: np.where(plain, q, np.clip(-np.expm1(np.log1p(-q) * np.where(plain, 1.0, x)), 1e-10, 1 - 1e-10))
+    enter, leave = prob(p.enter, scale), prob(p.leave, scale * more)
+    return np.log(np.stack([np.stack([1 - enter, enter], -1), np.stack([leave, 1 - leave], -1)], -2))
+
+
+def simple(p: Params, x: np.ndarray) -> Params:
+    """Emissions from two clusters as they are, with deviations of at least .01 and .001; where
+    there are not two, from the places at .3 and .9 of the order, with .05 and .01. Fewer
+    than three values, or no variance, change nothing."""
+    x = np.asarray(x, float)
+    if len(x) < 3 or x.var() < 1e-12:
+        return p
+    if (found := kmeans(x, 2, 20)) is None:
+        s, std = np.sort(x), float(x.std())
+        return replace(p, low=Gauss(float(s[int(len(s) * 0.3)]), max(std, 0.05)), high=Gauss(float(s[min(int(len(s) * 0.9), len(s) - 1)]), max(std, 0.01)))
+    centres, label = found
+    first = int(centres[0] >= centres[1])
+    a, b = x[label == first], x[label != first]
+    if len(a):
+        p = replace(p, low=Gauss(float(a.mean()), max(float(a.std()), 0.01)))
+    return replace(p, high=Gauss(float(b.mean()), max(float(b.std()), 0.001))) if len(b) else p
+
+
 def decode(params: list[Params], emits: list[np.ndarray], steps: list[np.ndarray] | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
     """(states, posteriors of sharing) of every sequence."""
     emit, lengths = chain.stack(emits)

@@ -95,6 +95,92 @@ def upper_median(rows: DataFrame, keys: list[str], value: Column) -> DataFrame:
     return at.select(*keys, F.col("_v").alias("median_margin"))
 
 
+def blend_looked_up(a: Column, b: Column, weight: float, agree: list[float], disagree: list[list[float]], median_margin: Column | None = None, low: float = 0.2, high: float = 3.0) -> Column:
+    """Blend whose scale is that of the best population where both models agree, and of the
+    pair of best ones where they differ; with a median margin, as in the hybrid blend."""
+    i, j = argmax(a), argmax(b)
+    same = F.get(F.array(*map(F.lit, agree)), i)
+    other = F.get(F.get(F.array(*[F.array(*map(F.lit, r)) for r in disagree]), i), j)
+    if median_margin is not None:
+        same = same * F.least(F.lit(high), F.greatest(F.lit(low), margin(b) / F.when(median_margin > 0, median_margin).otherwise(1.0)))
+    return blend(a, b, _capped(weight * F.when(i == j, same).otherwise(other)))
+
+
+def pairwise(rows: DataFrame, keys: list[str], sims: str, k: int) -> DataFrame:
+    """pairwise: each population's mean log odds against every other (Bradley-Terry), with a
+    temperature for each pair, the deviation of their difference over the sequence; -inf
+    where there is no data."""
+    w = Window.partitionBy(*keys)
+    s = [F.col(sims)[i] for i in range(k)]
+    diff = {(i, j): F.when((s[i] > 0) & (s[j] > 0), s[i] - s[j]).otherwise(0.0) for i in range(k) for j in range(i + 1, k)}
+    out = rows.select("*", *[F.greatest(F.stddev_pop(d).over(w), F.lit(1e-6)).alias(f"_t{i}_{j}") for (i, j), d in diff.items()])
+    log_odds = lambda i, j: -F.log1p(F.exp(-(diff[min(i, j), max(i, j)] * (1 if i < j else -1)) / F.col(f"_t{min(i, j)}_{max(i, j)}")))
+    scores = [sum((log_odds(i, j) for j in range(k) if j != i), F.lit(0.0)) / max(1, k - 1) for i in range(k)]
+    top = F.greatest(*scores) if k > 1 else scores[0]
+    total = F.ln(sum((F.exp(x - top) for x in scores), F.lit(0.0)))
+    found = F.array(*[F.when(s[i] > 0, scores[i] - top - total).otherwise(F.lit(NONE)) for i in range(k)])
+    return out.withColumn("pairwise", found).drop(*[f"_t{i}_{j}" for i, j in diff])
+
+
+def softmax_by_state(sims: Column, temperatures: list[float]) -> Column:
+    """log-softmax over entries above 0, each divided by its own temperature."""
+    scaled = F.zip_with(sims, F.array(*map(F.lit, temperatures)), lambda x, t: F.when(x > 0, x / t).otherwise(F.lit(NONE)))
+    return normalized(scaled)
+
+
+def normalized(e: Column) -> Column:
+    """Less the log of the sum of the exponentials; -inf stays."""
+    top = F.array_max(F.filter(e, _finite))
+    total = F.aggregate(F.filter(e, _finite), F.lit(0.0), lambda s, x: s + F.exp(x - top))
+    return F.transform(e, lambda x: F.when(_finite(x), x - top - F.ln(total)).otherwise(F.lit(NONE)))
+
+
+def state_temperatures(base: float, deviations: list[float]) -> list[float]:
+    """A temperature for each population: the base times its deviation over the mean one,
+    within a half and twice the base. (Known from one sentence; inferred.)"""
+    mean = sum(deviations) / len(deviations)
+    return [base * min(2.0, max(0.5, d / mean if mean > 0 else 1.0)) for d in deviations]
+
+
+def hierarchical(sims: Column, parts: list[list[int]], temperature: float, weight: float = 0.5) -> Column:
+    """A softmax over groups of populations, by their best, and one within each group, blended."""
+    best = F.array(*[F.greatest(*[F.get(sims, F.lit(i)) for i in p]) if len(p) > 1 else F.get(sims, F.lit(p[0])) for p in parts])
+    group = log_softmax(best, temperature)
+    inner = [log_softmax(F.array(*[F.get(sims, F.lit(i)) for i in p]), temperature) for p in parts]
+    at = {i: (g, n) for g, p in enumerate(parts) for n, i in enumerate(p)}
+    cells = []
+    for i in range(sum(map(len, parts))):
+        g, n = at[i]
+        cells.append(F.when(F.get(sims, F.lit(i)) > 0, weight * F.get(group, F.lit(g)) + (1 - weight) * F.get(inner[g], F.lit(n))).otherwise(F.lit(NONE)))
+    return normalized(F.array(*cells))
+
+
+def z_scores(sims: Column, means: list[float], stds: list[float]) -> Column:
+    """Standardised similarities; null where there is no data."""
+    return F.zip_with(F.zip_with(sims, F.array(*map(F.lit, means)), lambda x, m: F.when(x > 0, x - m)), F.array(*map(F.lit, stds)), lambda x, s: x / s)
+
+
+def softmax_of(z: Column, temperature: float) -> Column:
+    """log-softmax over the entries that are not null."""
+    return normalized(F.transform(z, lambda x: F.coalesce(x / temperature, F.lit(NONE))))
+
+
+def dampen(rows: DataFrame, keys: list[str], e: str, scale: float) -> DataFrame:
+    """dampened: emissions drawn to uniform by how far their margin is below scale x the
+    sequence's median margin. One state is left alone. (Inferred from tests of its order.)"""
+    m = margin(F.col(e))
+    median = F.median("_m").over(Window.partitionBy(*keys))
+    out = rows.withColumn("_m", m).withColumn("_f", F.when(median * scale > 0, F.least(F.lit(1.0), F.col("_m") / (median * scale))).otherwise(F.lit(0.0)))
+    even = F.ln(1.0 / F.size(e))
+    drawn = F.transform(e, lambda x: F.when(_finite(x), F.col("_f") * x + (1 - F.col("_f")) * even).otherwise(x))
+    return out.withColumn("dampened", F.when(F.size(e) > 1, drawn).otherwise(F.col(e))).drop("_m", "_f")
+
+
+def penalised(e: Column, variance: Column, weight: float) -> Column:
+    """e - weight x variance."""
+    return F.zip_with(e, variance, lambda x, v: x - weight * v)
+
+
 def consistency(rows: DataFrame, keys: list[str], order: str, sims: str, k: int, context: int) -> DataFrame:
     """consistency: ln((wins + 0.5) / (windows + 1)) of each population over the windows up
     to `context` away; tied populations share a win."""

@@ -85,13 +85,3 @@ def window_concordance(a: DataFrame, b: DataFrame, keys: list[str], size: int, w
     y = called_windows(b, keys, size).withColumn("in_b", F.lit(1))
     differ = x.join(y, [*keys, "window"], "full_outer").groupBy(*keys).agg(F.count_if(F.col("in_a").isNull() | F.col("in_b").isNull()).alias("differ"))
     return differ.select(*keys, F.round((F.lit(windows) - F.col("differ")) / windows, 6).alias("concordance"))
-
-
-def interpolate(positions: DataFrame, gmap: DataFrame, bp: str = "pos") -> DataFrame:
-    """cm of each position on a piecewise linear map, extrapolated linearly at both ends.
-    The map's pieces are few: a position takes the one that it lies in, or the nearest."""
-    w = Window.orderBy("bp")
-    nxt = gmap.select("bp", "cm", F.lead("bp").over(w).alias("bp2"), F.lead("cm").over(w).alias("cm2"), F.row_number().over(w).alias("k"), F.count(F.lit(1)).over(Window.partitionBy()).alias("n"))
-    pieces = nxt.filter("bp2 is not null").select("bp", "cm", "bp2", "cm2", F.when(F.col("k") == 1, F.lit(-(1 << 62))).otherwise(F.col("bp")).alias("low"), F.when(F.col("k") == F.col("n") - 1, F.lit(1 << 62)).otherwise(F.col("bp2")).alias("high"))
-    joined = positions.join(pieces, (F.col(bp) >= F.col("low")) & (F.col(bp) < F.col("high")))
-    return joined.withColumn("cm_at", F.col("cm") + (F.col("cm2") - F.col("cm")) * (F.col(bp) - F.col("bp")) / (F.col("bp2") - F.col("bp"))).drop("bp", "cm", "bp2", "cm2", "low", "high")

@@ -3,7 +3,7 @@ columns, over rows in the order of a position column, with window functions only
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -17,12 +17,13 @@ def runs(rows: DataFrame, keys: list[str], order: str, state: str, value: str |
     return island.groupBy(*keys, "_run", state).agg(F.min(order).alias("first_pos"), F.max(order).alias("last_pos"), F.count(F.lit(1)).alias("n_windows"), *stats).drop("_run")
 
 
-def shared_segments(rows: DataFrame, keys: list[str], order: str, state: str, posterior: str, lod: str | None = None, min_windows: int = 1, min_mean_posterior: float = 0.0, min_lod: float | None = None) -> DataFrame:
-    """Runs of state 1 with posterior statistics and the summed LOD, filtered."""
+def shared_segments(rows: DataFrame, keys: list[str], order: str, state: str, posterior: str, lod: str | None = None, min_windows: int = 1, min_mean_posterior: float = 0.0, min_lod: float | None = None, extra: tuple[Column, ...] = ()) -> DataFrame:
+    """Runs of state 1 with posterior statistics and the summed LOD, filtered; extra ones are
+    further aggregates."""
     w = Window.partitionBy(*keys).orderBy(order)
     island = rows.withColumn("_run", F.sum((F.col(state) != 1).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))).filter(F.col(state) == 1)
     score = F.sum(lod) if lod else F.lit(0.0)
-    out = island.groupBy(*keys, "_run").agg(F.min(order).alias("first_pos"), F.max(order).alias("last_pos"), F.count(F.lit(1)).alias("n_windows"), F.avg(posterior).alias("mean_posterior"), F.min(posterior).alias("min_posterior"), F.max(posterior).alias("max_posterior"), score.alias("lod_score")).drop("_run")
+    out = island.groupBy(*keys, "_run").agg(F.min(order).alias("first_pos"), F.max(order).alias("last_pos"), F.count(F.lit(1)).alias("n_windows"), F.avg(posterior).alias("mean_posterior"), F.min(posterior).alias("min_posterior"), F.max(posterior).alias("max_posterior"), score.alias("lod_score"), *extra).drop("_run")
     out = out.filter((F.col("n_windows") >= min_windows) & (F.col("mean_posterior") >= min_mean_posterior))
     return out if min_lod is None else out.filter(F.col("lod_score") >= min_lod)
 
@@ -33,7 +34,7 @@ def composite_filter(segments: DataFrame, soft_min: int, hard_min: int, threshol
     return segments.filter((F.col("n_windows") >= hard_min) & (score >= threshold))
 
 
-def merge_nearby(segments: DataFrame, keys: list[str], max_gap: int, start: str = "start_idx", end: str = "end_idx") -> DataFrame:
+def merge_nearby(segments: DataFrame, keys: list[str], max_gap: int, start: str = "start_idx", end: str = "end_idx", extra: tuple[Column, ...] = ()) -> DataFrame:
     """Segments with a gap of at most max_gap windows become one: windows with the gaps,
     mean weighted by the parts' windows, least and most of the parts, LOD summed."""
     w = Window.partitionBy(*keys).orderBy(start)
@@ -42,7 +43,7 @@ def merge_nearby(segments: DataFrame, keys: list[str], max_gap: int, start: str
     n = F.col(end) - F.col(start) + 1
     return (
         island.groupBy(*keys, "_run")
-        .agg(F.min(start).alias(start), F.max(end).alias(end), (F.sum(n * F.col("mean_posterior")) / F.sum(n)).alias("mean_posterior"), F.min("min_posterior").alias("min_posterior"), F.max("max_posterior").alias("max_posterior"), F.sum("lod_score").alias("lod_score"))
+        .agg(F.min(start).alias(start), F.max(end).alias(end), (F.sum(n * F.col("mean_posterior")) / F.sum(n)).alias("mean_posterior"), F.min("min_posterior").alias("min_posterior"), F.max("max_posterior").alias("max_posterior"), F.sum("lod_score").alias("lod_score"), *extra)
         .withColumn("n_windows", F.col(end) - F.col(start) + 1)
         .drop("_run")
     )
@@ -101,6 +102,25 @@ def crossings(rows: DataFrame, keys: list[str], order: str, posterior: str, cent
     return marked.select(*keys, F.col(order).alias("position"), F.round(F.col("_c0") + share * (F.col(centre) - F.col("_c0")), 3).alias("crossing"), (F.col(posterior) >= level).alias("rises"))
 
 
+def refined_boundaries(segments: DataFrame, rows: DataFrame, keys: list[str], order: str, posterior: str, centre: str, level: float = 0.5) -> DataFrame:
+    """segments (start_bp, end_bp) with both ends moved to where the posterior crosses the
+    level nearest to them, rising at the start and falling at the end, if that is between
+    the outer windows' centres around the end; else they stay. Crossings lie between two
+    windows, so each end meets the one of its own place: an equi join by window."""
+    w = Window.partitionBy(*keys).orderBy(order)
+    at = crossings(rows, keys, order, posterior, centre, level).select(*keys, F.col("position").alias("_at"), "crossing", "rises")
+    before = rows.select(*keys, F.col(order).alias("_at"), F.lag(order).over(w).alias("_before"))
+    rising = at.filter("rises").select(*keys, F.col("_at").alias("first_pos"), F.col("crossing").alias("_start"))
+    falling = at.filter("not rises").join(before, [*keys, "_at"]).select(*keys, F.col("_before").alias("last_pos"), F.col("crossing").alias("_end"))
+    moved = segments.join(rising, [*keys, "first_pos"], "left").join(falling, [*keys, "last_pos"], "left")
+    return moved.withColumn("start_bp", F.coalesce("_start", F.col("start_bp").cast("double"))).withColumn("end_bp", F.coalesce("_end", F.col("end_bp").cast("double"))).drop("_start", "_end")
+
+
+def smoothing_changes(rows: DataFrame, keys: list[str], before: str, after: str) -> DataFrame:
+    """Windows whose state a smoothing has changed, per group."""
+    return rows.groupBy(*keys).agg(F.count_if(F.col(before) != F.col(after)).alias("changed"))
+
+
 def nearest(rows: DataFrame, targets: DataFrame, keys: list[str], order: str, tolerance: float) -> DataFrame:
     """distance from each row to the nearest target of its group (null without one) and
     whether that is within the tolerance. Both sides are merged in one order; the last

@@ -8,12 +8,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pairloom.functions.columns import coverage_ratio
 from pairloom.kernels import two_state as K
 from pairloom.operators.aggregates import contrast_adjust
+from pairloom.operators.genmap import interpolate
 from pairloom.operators.islands import composite_filter, merge_nearby, shared_segments
 from pairloom.operators.rows import mask_out
 
@@ -49,6 +50,8 @@ class PairOptions:
     k0_feature: bool = False
     k0_threshold: float = 0.9999
     distance_transitions: bool = False
+    #: Training sees the steps by distance, or by the genetic map, too.
+    trained_steps: bool = False
     logit_emissions: bool = False
     coverage_feature: bool = False
 
@@ -70,10 +73,15 @@ def _decode(groups: list[pd.DataFrame], o: PairOptions) -> pd.DataFrame:
         # Fixed before training, from the posteriors of the first parameters.
         first = K.decode(params, [p.emissions(x) for p, x in zip(params, xs)])
         extra = [K.side_emissions(g["coverage"].to_numpy(float), post) for g, (_, post) in zip(groups, first)]
+    step_of = None
+    if "cm" in groups[0]:
+        step_of = lambda k, p: K.map_transitions(p, (groups[k]["start_bp"].to_numpy() + groups[k]["end_bp"].to_numpy()) // 2, groups[k]["cm"].to_numpy(float), groups[k]["cm_next"].to_numpy(float), o.window)
+    elif o.distance_transitions:
+        step_of = lambda k, p: K.distance_transitions(p, groups[k]["start_bp"].to_numpy(), groups[k]["end_bp"].to_numpy())
     if o.rounds:
-        params = K.train(params, xs, pop, o.window, o.rounds, in_logits=o.logit_emissions, extra=extra)
+        params = K.train(params, xs, pop, o.window, o.rounds, in_logits=o.logit_emissions, extra=extra, step_of=step_of if o.trained_steps else None)
     emits = [p.emissions(x) + (extra[k] if extra else 0.0) for k, (p, x) in enumerate(zip(params, xs))]
-    steps = [K.distance_transitions(p, g["start_bp"].to_numpy(), g["end_bp"].to_numpy()) for p, g in zip(params, groups)] if o.distance_transitions else None
+    steps = [step_of(k, p) for k, p in enumerate(params)] if step_of else None
     if o.k0_feature:
         for k, (_, post) in enumerate(K.decode(params, emits, steps)):
             hit = (groups[k]["raw_identity"].to_numpy(float) >= o.k0_threshold).astype(float)
@@ -108,7 +116,7 @@ def _top_std(x: np.ndarray) -> float | None:
 _WINDOWS = "chrom string, start_bp long, end_bp long, hap_a string, hap_b string, identity double, idx int, state int, posterior double, lod double"
 
 
-def decode_windows(pairs: DataFrame, options: PairOptions = PairOptions(), mask: DataFrame | None = None) -> DataFrame:
+def decode_windows(pairs: DataFrame, options: PairOptions = PairOptions(), mask: DataFrame | None = None, gmap: DataFrame | None = None) -> DataFrame:
     """Every window of every pair of three or more windows, with state, posterior and LOD.
 
     One shuffle brings a pair's windows together in order; a task reads whole pairs off
@@ -122,6 +130,10 @@ def decode_windows(pairs: DataFrame, options: PairOptions = PairOptions(), mask:
         rows = contrast_adjust(rows).withColumn("identity", F.col("adjusted")).drop("adjusted")
     coverage = coverage_ratio("a_length", "b_length") if o.coverage_feature else F.lit(0.0)
     rows = rows.select("chrom", "start_bp", "end_bp", "hap_a", "hap_b", F.col("identity").cast("double"), F.col("raw_identity").cast("double"), coverage.cast("double").alias("coverage"))
+    if gmap is not None:
+        middle = F.floor((F.col("start_bp") + F.col("end_bp")) / 2).cast("long")
+        placed = interpolate(interpolate(rows.withColumn("mid", middle).withColumn("_next", middle + o.window), gmap, "mid", "cm"), gmap, "_next", "cm_next")
+        rows = placed.drop("mid", "_next")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rest, ready, size = None, [], 0
@@ -146,19 +158,24 @@ def decode_windows(pairs: DataFrame, options: PairOptions = PairOptions(), mask:
 
 
 def segments_of(windows: DataFrame, options: PairOptions = PairOptions()) -> DataFrame:
-    """Shared segments of decoded windows, filtered as the options say."""
+    """Shared segments of decoded windows, filtered as the options say. A segment's mean
+    identity, gaps that were bridged included, is a difference of running sums, so the
+    windows are read once."""
     o = options
-    found = shared_segments(windows, KEYS, "idx", "state", "posterior", "lod", 1 if o.composite else o.least_windows(), 0.0 if o.composite else o.posterior_threshold, None if o.composite else o.min_lod)
+    w = Window.partitionBy(*KEYS).orderBy("idx").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    summed = windows.withColumn("_upto", F.sum("identity").over(w)).withColumn("_before", F.col("_upto") - F.col("identity"))
+    ends = lambda: (F.min("start_bp").alias("start_bp"), F.max("end_bp").alias("end_bp"), F.min("_before").alias("_before"), F.max("_upto").alias("_upto"))
+    found = shared_segments(summed, KEYS, "idx", "state", "posterior", "lod", 1 if o.composite else o.least_windows(), 0.0 if o.composite else o.posterior_threshold, None if o.composite else o.min_lod, ends())
     found = found.withColumnRenamed("first_pos", "start_idx").withColumnRenamed("last_pos", "end_idx")
     if o.composite:
         found = composite_filter(found, o.least_windows(), max(o.least_windows() // 10, 5), o.composite_threshold)
     if o.bridge_gaps:
-        found = merge_nearby(found, KEYS, o.bridge_gaps)
-    inside = windows.join(found, KEYS).filter((F.col("idx") >= F.col("start_idx")) & (F.col("idx") <= F.col("end_idx")))
-    out = inside.groupBy(*KEYS, "start_idx", "n_windows", "mean_posterior", "min_posterior", "max_posterior", "lod_score").agg(F.min("start_bp").alias("start_bp"), F.max("end_bp").alias("end_bp"), F.avg("identity").alias("mean_identity"))
-    return out.filter(F.col("end_bp") - F.col("start_bp") >= o.min_len_bp).drop("start_idx")
+        found = merge_nearby(found, KEYS, o.bridge_gaps, extra=ends())
+    out = found.withColumn("mean_identity", (F.col("_upto") - F.col("_before")) / (F.col("end_idx") - F.col("start_idx") + 1))
+    return out.filter(F.col("end_bp") - F.col("start_bp") >= o.min_len_bp).drop("start_idx", "end_idx", "_before", "_upto")
 
 
-def detect_shared(pairs: DataFrame, options: PairOptions = PairOptions(), mask: DataFrame | None = None) -> DataFrame:
-    """Shared segments of every pair."""
-    return segments_of(decode_windows(pairs, options, mask), options)
+def detect_shared(pairs: DataFrame, options: PairOptions = PairOptions(), mask: DataFrame | None = None, gmap: DataFrame | None = None) -> DataFrame:
+    """Shared segments of every pair. With a genetic map (chrom, bp, cm) transitions follow
+    its distances."""
+    return segments_of(decode_windows(pairs, options, mask, gmap), options)

@@ -3,38 +3,24 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairloom import views as V
 from pairloom.functions import columns as C
 from pairloom.operators import aggregates as A
 from pairloom.operators import emissions as E
+from pairloom.operators import genmap as G
 from pairloom.operators import identity9, relate
 from pairloom.operators import intervals as I
 from pairloom.operators import islands as L
 from pairloom.operators import rows as R
+from pairloom.registry import ORACLE, QUERIES, query
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
 PAIR = ["hap_a", "hap_b"]
 GENOME = 30_000_000_000
 
 
-def query(sql: str | None = None):
-    """Registers a query under its function's name, with its SQL."""
-
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE[f.__name__] = sql
-        return f
-
-    return add
-
-
 def _sim(sql: str) -> str:
     return f"WITH {V.SIM} {sql}"
 
@@ -305,13 +291,15 @@ def window_concordance(spark, sf_dir):
     return I.window_concordance(V.ours(spark, sf_dir), V.theirs(spark, sf_dir), _KEYS, 400, 1_000_000)
 
 
-_PIECES = f"{V.GENETIC_MAP}, pieces AS (SELECT bp, cm, lead(bp) OVER (ORDER BY bp) AS bp2, lead(cm) OVER (ORDER BY bp) AS cm2, row_number() OVER (ORDER BY bp) AS k, count(*) OVER () AS n FROM gmap)"
+PIECES = f"{V.GENETIC_MAP}, pieces AS (SELECT chrom, bp, cm, lead(bp) OVER m AS bp2, lead(cm) OVER m AS cm2, row_number() OVER m AS k, count(*) OVER (PARTITION BY chrom) AS n FROM gmap WINDOW m AS (PARTITION BY chrom ORDER BY bp))"
+ON_PIECE = "p.bp2 IS NOT NULL AND ({0} >= p.bp OR p.k = 1) AND ({0} < p.bp2 OR p.k = p.n - 1)"
+CM = "CASE WHEN {0} >= p.bp2 THEN p.cm2 + (p.cm2 - p.cm) / (p.bp2 - p.bp) * ({0} - p.bp2) ELSE p.cm + (p.cm2 - p.cm) / (p.bp2 - p.bp) * ({0} - p.bp) END"
 
 
-@query(f"WITH {V.SEGMENTS}, {_PIECES} SELECT start_bp, count(*) AS n, round(max(cm + (cm2 - cm) * (start_bp - bp) / (bp2 - bp)), 6) AS cm_at FROM seg JOIN pieces ON bp2 IS NOT NULL AND (start_bp >= bp OR k = 1) AND (start_bp < bp2 OR k = pieces.n - 1) GROUP BY start_bp")
+@query(f"WITH {V.SEGMENTS}, {PIECES} SELECT seg.chrom, start_bp, count(*) AS n, round(max({CM.format('start_bp')}), 9) AS cm_at FROM seg JOIN pieces p ON p.chrom = seg.chrom AND {ON_PIECE.format('start_bp')} GROUP BY 1, 2")
 def genmap_interp(spark, sf_dir):
-    p = V.segments(spark, sf_dir).groupBy(F.col("start_bp").alias("pos")).agg(F.count(F.lit(1)).alias("times"))
-    return I.interpolate(p, V.genetic_map(spark)).select(F.col("pos").alias("start_bp"), F.col("times").alias("n"), F.round("cm_at", 6).alias("cm_at"))
+    p = V.segments(spark, sf_dir).groupBy("chrom", F.col("start_bp").alias("pos")).agg(F.count(F.lit(1)).alias("times"))
+    return G.interpolate(p, V.genetic_map(spark)).select("chrom", F.col("pos").alias("start_bp"), F.col("times").alias("n"), F.round("cm_at", 9).alias("cm_at"))
 
 
 # Ordered analytics.
@@ -406,7 +394,7 @@ _MASK = "CASE " + " ".join(f"WHEN hap_a = '{min(a, b)}' AND hap_b = '{max(a, b)}
 
 
 @query(f"""WITH {V.SIM}, same AS (SELECT * FROM sim WHERE identity >= 0.998), cls(mask, delta) AS (VALUES {", ".join(map(str, identity9.class_table()))}),
-    loci AS (SELECT start_bp, bit_or({_MASK}) AS mask FROM same WHERE {_MASK} IS NOT NULL GROUP BY 1),
+    loci AS (SELECT chrom, start_bp, end_bp, bit_or({_MASK}) AS mask FROM same WHERE {_MASK} IS NOT NULL GROUP BY 1, 2, 3),
     c AS (SELECT delta, count(*) AS n FROM loci JOIN cls USING (mask) GROUP BY 1),
     w AS (SELECT greatest(0, (max(end_bp) - min(start_bp) + 1) // 10000 - (SELECT count(*) FROM loci)) AS n FROM same),
     t AS (SELECT delta, sum(n)::bigint AS n FROM (SELECT * FROM c UNION ALL SELECT 9, n FROM w) GROUP BY 1 HAVING sum(n) > 0)
@@ -547,3 +535,6 @@ def haplotype_concordance(spark, sf_dir):
 
     gold = V.theirs(spark, sf_dir).select("chrom", "start_bp", "end_bp", C.sample_of("hap_a").alias("sample1"), C.haplotype_index("hap_a").alias("hap1"), C.sample_of("hap_b").alias("sample2"), C.haplotype_index("hap_b").alias("hap2"))
     return by_haplotype(V.ours(spark, sf_dir), gold)
+
+
+from pairloom import model_queries  # noqa: E402, F401  registers its queries beside these

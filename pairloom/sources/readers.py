@@ -67,13 +67,13 @@ def populations_folder(spark: SparkSession, path: str) -> DataFrame:
 
 
 def genetic_map(spark: SparkSession, path: str, chrom: str) -> DataFrame:
-    """bp, cm of a map with four columns (chrom, bp, rate, cM; of one chromosome) or three
+    """chrom, bp, cm of a map with four columns (chrom, bp, rate, cM; of one chromosome) or three
     (bp, rate, cM); lines that are neither are skipped."""
     parts = spark.read.text(path).select(F.split(F.trim("value"), r"\s+").alias("p"))
     plain = lambda c: F.regexp_replace(c, "^chr", "")
     own = (F.size("p") == 3) | ((F.size("p") >= 4) & (plain(F.get("p", F.lit(0))) == re.sub("^chr", "", chrom)))
     at = F.when(F.size("p") >= 4, 1).otherwise(0)
-    return parts.filter(own).select(F.get("p", at).try_cast("long").alias("bp"), F.get("p", at + 2).try_cast("double").alias("cm")).dropna()
+    return parts.filter(own).select(F.lit(chrom).alias("chrom"), F.get("p", at).try_cast("long").alias("bp"), F.get("p", at + 2).try_cast("double").alias("cm")).dropna()
 
 
 def gold_segments(spark: SparkSession, path: str) -> DataFrame:

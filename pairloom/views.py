@@ -94,8 +94,11 @@ def populations(spark: SparkSession) -> DataFrame:
 
 POPULATIONS_SQL = "pops(population, haplotype) as (values " + ", ".join(f"('{p}', '{h}')" for p, hs in POPULATIONS.items() for h in hs) + ")"
 _MAP = [(0, 0.0), (500_000, 0.4), (1_500_000, 1.9), (3_000_000, 2.2)]
-GENETIC_MAP = "gmap(bp, cm) as (values " + ", ".join(f"({b}::bigint, {c}::double)" for b, c in _MAP) + ")"
+_CHROMOSOMES = range(1, 8)
+_MAPS = [(f"chr{c}", b, round(cm * (1 + c / 10), 6)) for c in _CHROMOSOMES for b, cm in _MAP]
+GENETIC_MAP = "gmap(chrom, bp, cm) as (values " + ", ".join(f"('{c}', {b}::bigint, {cm}::double)" for c, b, cm in _MAPS) + ")"
 
 
 def genetic_map(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(_MAP, "bp long, cm double")
+    """chrom, bp, cm."""
+    return spark.createDataFrame(_MAPS, "chrom string, bp long, cm double")

@@ -56,4 +56,3 @@ def test_floor_ensemble_copying_merge():
     sims[10] = [0.8, 0.8, 0.99, 0.9]
     path, post = M.copying(sims, G, 2, 0.01, 0.1, 0.05, 0.5)
     assert path.tolist() == [0] * 20 + [1] * 20 and np.allclose(post.sum(1), 1)
-    assert M.merge_tolerant([(0, 9, 10.0), (5, 14, 20.0), (20, 21, 2.0)]) == [(0, 14, 20.0), (20, 21, 2.0)]

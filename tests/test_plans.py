@@ -100,8 +100,7 @@ def test_smoothing_and_matching():
     assert states.posterior_smooth([0, 1, 0, 0], p, 2, 0.6, 0.1).tolist() == [0, 0, 0, 0]
     r = states.match_switches([10, 11, 50], [12, 13, 90], 3)
     assert (r["matched"], r["missed"], r["spurious"]) == (2, 1, 1)
-    v = [1, 1, 0, 1, 0, 1, 0.5, 1]
-    assert [x[:2] for x in states.tolerant_runs(v, [1, 1, 0, 1, 0, 1, 1, 1], 0.9, 0.0, 1, 2)] == [(0, 3)]
+    assert states.correct_short([0, 0, 1, 2, 2], np.array([[0.8, 0.1, 0.1]] * 2 + [[0.2, 0.5, 0.3]] + [[0, 0, 1.0]] * 2), 2).tolist() == [0, 0, 2, 2, 2]
 
 
 def test_timing_separates_two_pulses():

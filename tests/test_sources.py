@@ -38,7 +38,7 @@ def test_bed_lists_maps_and_gold(spark, tmp_path):
     d.mkdir()
     (d / "AFR.txt").write_text("s1\ns2\n")
     assert sorted(tuple(r) for r in readers.populations_folder(spark, str(d)).collect()) == [("AFR", "s1"), ("AFR", "s2")]
-    assert [tuple(r) for r in readers.genetic_map(spark, write(tmp_path / "g.map", "chr1 100 1.0 0.1\nchr2 5 1 9\nchr1 200 1.0 0.3\n"), "1").collect()] == [(100, 0.1), (200, 0.3)]
+    assert [tuple(r) for r in readers.genetic_map(spark, write(tmp_path / "g.map", "chr1 100 1.0 0.1\nchr2 5 1 9\nchr1 200 1.0 0.3\n"), "1").collect()] == [("1", 100, 0.1), ("1", 200, 0.3)]
     g = readers.gold_segments(spark, write(tmp_path / "h.txt", "A 1 B 2 chr1 5 9 3.5\nbad line\nA x B 2 chr1 5 9 3.5\n")).collect()
     assert [(r.sample1, r.hap2, r.end_bp, r.lod) for r in g] == [("A", 2, 9, 3.5)]
     msp = write(tmp_path / "q.msp", "#Subpopulation order/codes: AFR=0 EUR=1\n#chm\tspos\tepos\tsgpos\tegpos\tn snps\tS.0\tS.1\nchr1\t1\t50\t0\t1\t9\t0\t1\n")
