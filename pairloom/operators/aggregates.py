@@ -22,15 +22,17 @@ def haplotype_baselines(pairs: DataFrame) -> DataFrame:
 
 
 def contrast_adjust(pairs: DataFrame) -> DataFrame:
-    """adjusted: identity less what either haplotype has above the window's mean, within 0 and 1."""
-    base = haplotype_baselines(pairs)
-    mean = pairs.groupBy("chrom", "start_bp").agg(F.avg("identity").alias("mu"))
-    a = base.select("chrom", "start_bp", F.col("hap").alias("hap_a"), F.col("baseline").alias("base_a"))
-    b = base.select("chrom", "start_bp", F.col("hap").alias("hap_b"), F.col("baseline").alias("base_b"))
-    joined = pairs.join(mean, ["chrom", "start_bp"]).join(a, ["chrom", "start_bp", "hap_a"], "left").join(b, ["chrom", "start_bp", "hap_b"], "left")
-    mu = F.col("mu")
-    value = F.col("identity") - (F.coalesce("base_a", mu) - mu) - (F.coalesce("base_b", mu) - mu)
-    return joined.withColumn("adjusted", F.least(F.lit(1.0), F.greatest(F.lit(0.0), value))).drop("base_a", "base_b", "mu")
+    """adjusted: identity less what either haplotype has above the window's mean, within 0 and 1.
+
+    One shuffle, by window: the mean, the baselines of both haplotypes and the way back to
+    the rows all stay inside the window's partition."""
+    place = Window.partitionBy("chrom", "start_bp")
+    rows = pairs.repartition("chrom", "start_bp").withColumn("_mu", F.avg("identity").over(place)).withColumn("_row", F.monotonically_increasing_id())
+    ends = rows.select("*", F.explode(F.array(F.struct(F.col("hap_a").alias("hap"), F.lit(0).alias("side")), F.struct(F.col("hap_b").alias("hap"), F.lit(1).alias("side")))).alias("_s"))
+    based = ends.withColumn("_hap", F.col("_s.hap")).withColumn("_base", F.avg("identity").over(Window.partitionBy("chrom", "start_bp", "_hap")))
+    side = lambda k: F.max(F.when(F.col("_s.side") == k, F.col("_base"))) - F.col("_mu")
+    back = based.groupBy(*pairs.columns, "_mu", "_row").agg((side(0) + side(1)).alias("_above"))
+    return back.withColumn("adjusted", F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("identity") - F.col("_above")))).drop("_mu", "_row", "_above")
 
 
 def window_background(pairs: DataFrame, threshold: float = 0.999, floor: float = 0.0) -> DataFrame:

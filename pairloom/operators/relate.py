@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pairloom.functions.columns import sample_of
@@ -31,20 +31,22 @@ def centered(matrix: DataFrame) -> DataFrame:
 def diploid(matrix: DataFrame) -> DataFrame:
     """Individuals: the mean of the up to four comparisons of their haplotypes; an
     individual's own haplotypes are 1 with themselves."""
+    one = lambda x, y, average, times: F.struct(F.col(x).alias("hap_a"), F.col(y).alias("hap_b"), average.alias("average"), times.alias("times"))
     a, b = sample_of("hap_a"), sample_of("hap_b")
-    haps = matrix.select(F.explode(F.array("hap_a", "hap_b")).alias("hap")).distinct()
-    own = haps.select(F.col("hap").alias("hap_a"), F.col("hap").alias("hap_b"), F.lit(1.0).alias("average"), F.lit(1).alias("times"))
     # Of an individual with itself the pair of two haplotypes counts in both orders.
     times = F.when(a == b, 2).otherwise(1)
-    rows = matrix.select("hap_a", "hap_b", "average", times.alias("times")).unionByName(own)
+    cells = matrix.select(F.explode(F.array(one("hap_a", "hap_b", F.col("average"), times), one("hap_a", "hap_a", F.lit(1.0), F.lit(1)), one("hap_b", "hap_b", F.lit(1.0), F.lit(1)))).alias("c")).select("c.*")
+    rows = cells.groupBy("hap_a", "hap_b").agg(F.max("average").alias("average"), F.max("times").alias("times"))
     return rows.groupBy(F.least(a, b).alias("individual_a"), F.greatest(a, b).alias("individual_b")).agg((F.sum(F.col("average") * F.col("times")) / F.sum("times")).alias("average"), F.sum("times").cast("long").alias("n"))
 
 
 def double_centered(matrix: DataFrame) -> DataFrame:
-    """x - row mean - column mean + grand mean of a symmetric matrix in long form."""
-    flip = matrix.filter("individual_a <> individual_b").select(F.col("individual_b").alias("individual_a"), F.col("individual_a").alias("individual_b"), "average")
-    full = matrix.select("individual_a", "individual_b", "average").unionByName(flip)
-    means = full.groupBy(F.col("individual_a").alias("i")).agg(F.avg("average").alias("m"))
-    grand = full.agg(F.avg("average")).scalar()
-    x = matrix.join(means.withColumnRenamed("i", "individual_a").withColumnRenamed("m", "ma"), "individual_a").join(means.withColumnRenamed("i", "individual_b").withColumnRenamed("m", "mb"), "individual_b")
-    return x.withColumn("centered", F.col("average") - F.col("ma") - F.col("mb") + grand).drop("ma", "mb")
+    """x - row mean - column mean + grand mean of a symmetric matrix in long form. Each entry
+    goes to both of its rows, where it meets their means, and comes back as one."""
+    ways = F.when(F.col("individual_a") == F.col("individual_b"), F.array(F.struct(F.col("individual_a").alias("i")))).otherwise(F.array(F.struct(F.col("individual_a").alias("i")), F.struct(F.col("individual_b").alias("i"))))
+    full = matrix.withColumn("_i", F.explode(ways)).withColumn("_i", F.col("_i.i"))
+    mean = F.avg("average").over(Window.partitionBy("_i"))
+    met = full.withColumn("_m", mean).groupBy(*matrix.columns).agg(F.max(F.when(F.col("_i") == F.col("individual_a"), F.col("_m"))).alias("_a"), F.max(F.when(F.col("_i") == F.col("individual_b"), F.col("_m"))).alias("_b"))
+    twice = F.when(F.col("individual_a") == F.col("individual_b"), 1).otherwise(2)
+    grand = matrix.agg(F.sum(F.col("average") * twice) / F.sum(twice)).scalar()
+    return met.withColumn("centered", F.col("average") - F.col("_a") - F.col("_b") + grand).drop("_a", "_b")

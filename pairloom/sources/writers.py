@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairloom.functions.columns import sample_of
@@ -29,28 +29,53 @@ def segment_bed(segments: DataFrame) -> DataFrame:
     return segments.select(F.concat_ws("\t", "chrom", (F.col("start_bp") - 1).cast("string"), F.col("end_bp").cast("string"), F.concat_ws("_", "hap_a", "hap_b"), score.cast("string"), F.lit(".")).alias("value"))
 
 
-def matrix_files(matrix: DataFrame, prefix: str, center: bool = False) -> list[str]:
+class _Out:
+    """A file of any Hadoop file system, written from the driver."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        self.stream = at.getFileSystem(spark._jsc.hadoopConfiguration()).create(at, True)
+
+    def write(self, data: bytes) -> None:
+        self.stream.write(bytearray(data))
+
+    def close(self) -> None:
+        self.stream.close()
+
+
+def matrix_files(matrix: DataFrame, prefix: str, center: bool = False, ids: tuple[str, str] = ("hap_a", "hap_b")) -> list[str]:
     """The binary triple of a relationship matrix: lower triangle of averages and of counts as
-    little-endian 32-bit floats, and an id list. A dense n x n matrix is a driver's
-    object by its format, so n(n+1)/2 ordered rows come to the driver."""
-    rows = matrix.select("hap_a", "hap_b", "average", "n").collect()
-    names = sorted({h for r in rows for h in (r.hap_a, r.hap_b)})
+    little-endian 32-bit floats, and an id list; 0 without data. The format wants one file
+    in row order, so entries are sorted where they are and pass the driver row by row,
+    which holds the names and one row of the triangle."""
+    spark, (a, b) = matrix.sparkSession, ids
+    names = [r.x for r in matrix.select(F.explode(F.array(a, b)).alias("x")).distinct().orderBy("x").collect()]
     if not names:
         raise ValueError("no samples for a matrix")
     at = {h: k for k, h in enumerate(names)}
-    value, count = np.zeros((len(names), len(names))), np.zeros((len(names), len(names)))
-    for r in rows:
-        i, j = sorted((at[r.hap_a], at[r.hap_b]), reverse=True)
-        value[i, j], count[i, j] = r.average, r.n
-    low = np.tril_indices(len(names))
-    mean = value[low][count[low] > 0].mean() if center else 0.0
-    (value[low] - mean).astype("<f4").tofile(f"{prefix}.grm.bin")
-    count[low].astype("<f4").tofile(f"{prefix}.grm.N.bin")
-    with open(f"{prefix}.grm.id", "w") as f:
-        f.writelines(f"{h.split('#')[0]}\t{h}\n" for h in names)
+    mean = matrix.agg(F.avg("average")).first()[0] if center else 0.0
+    rows = matrix.select(F.greatest(a, b).alias("i"), F.least(a, b).alias("j"), "average", "n").orderBy("i", "j").toLocalIterator()
+    values, counts = _Out(spark, f"{prefix}.grm.bin"), _Out(spark, f"{prefix}.grm.N.bin")
+    r = next(rows, None)
+    for k, name in enumerate(names):
+        value, count = np.full(k + 1, -mean), np.zeros(k + 1)
+        while r is not None and r.i == name:
+            value[at[r.j]], count[at[r.j]] = r.average - mean, r.n
+            r = next(rows, None)
+        values.write(value.astype("<f4").tobytes())
+        counts.write(count.astype("<f4").tobytes())
+    out = _Out(spark, f"{prefix}.grm.id")
+    out.write("".join(f"{h.split('#')[0]}\t{h}\n" for h in names).encode())
+    for f in (values, counts, out):
+        f.close()
     return names
 
 
+def diploid_files(matrix: DataFrame, prefix: str, center: bool = False) -> list[str]:
+    """The same triple of the individuals' matrix."""
+    return matrix_files(matrix, prefix, center, ("individual_a", "individual_b"))
+
+
 def class_report(metrics: DataFrame) -> str:
     """Precision, recall and F1 by class as text."""
     lines = [f"{'class':<12}{'precision':>10}{'recall':>10}{'f1':>10}"]

@@ -107,8 +107,8 @@ def test_identity_classes(spark):
     assert len({c for _, c in identity9.class_table()}) == 9
     assert identity9.classify({(0, 1), (1, 2), (2, 3)}) == 1 and identity9.classify({(0, 2), (1, 3)}) == 7 and identity9.classify(set()) == 9
     H = ("A#1", "A#2", "B#1", "B#2")
-    rows = [(1, 10, "A#1", "B#1"), (1, 10, "A#2", "B#2"), (21, 30, "A#1", "B#2"), (31, 40, "A#1", "X#1")]
-    df = spark.createDataFrame(rows, "start_bp long, end_bp long, hap_a string, hap_b string")
+    rows = [("c", 1, 10, "A#1", "B#1"), ("c", 1, 10, "A#2", "B#2"), ("c", 21, 30, "A#1", "B#2"), ("c", 31, 40, "A#1", "X#1")]
+    df = spark.createDataFrame(rows, "chrom string, start_bp long, end_bp long, hap_a string, hap_b string")
     assert sorted((r.delta, r.n) for r in identity9.identity_classes(df, H).collect()) == [(7, 1), (8, 1), (9, 2)]
 
 
