@@ -33,10 +33,12 @@ def whole_text(column: str = "text"):
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir.
 
-    Only where that is unset (tests, a single machine) is a folder of our own
-    made, and removed again at exit."""
+    Only where that is unset, and driver and executors are one process, is a folder of
+    our own made, and removed again at exit."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="pairloom-")
         atexit.register(shutil.rmtree, base, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", base)
@@ -59,6 +61,18 @@ def stored(df: DataFrame, name: str, sort: list[str] | None = None) -> DataFrame
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Deletes stored tables that are read no more; other frames are left alone."""
+    for df in tables:
+        spark = df.sparkSession
+        own = f"{shared_dir(spark)}/pairloom/"
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            at = folder.split("/pairloom/")
+            if len(at) == 2 and "/" not in at[1]:
+                path = spark._jvm.org.apache.hadoop.fs.Path(own + at[1])
+                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def drop_scratch(spark: SparkSession) -> None:
     """Deletes what the operators have left below the shared folder."""
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/pairloom")

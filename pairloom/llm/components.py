@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairloom.llm.common import row_count, small_side, stored
+from pairloom.llm.common import discard, row_count, small_side, stored
 
-BROADCAST_ROWS = 500_000
+#: Rows that may be broadcast (about 40 bytes each).
+BROADCAST_ROWS = 100_000
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -23,7 +24,9 @@ def components(links: DataFrame) -> DataFrame:
         up = step.select(F.col("node").alias("label"), F.col("label").alias("above"))
         jumped = step.join(small_side(up, n, BROADCAST_ROWS), "label", "left").select("node", "old", F.least("label", F.coalesce("above", "label")).alias("label"))
         jumped = stored(jumped, "labels")
+        discard(labels, step)
         labels = jumped.select("node", "label")
         if not jumped.filter("label <> old").take(1):
             break
+    discard(edges)
     return labels

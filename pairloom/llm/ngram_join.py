@@ -33,15 +33,21 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairloom.llm.common import join_groups, planned_bytes, row_count, ship, small_side, stored, trim, whole_text
+from pairloom.llm.common import discard, join_groups, planned_bytes, row_count, ship, small_side, stored, trim, whole_text
 from pairloom.llm.components import components
 from pairloom.llm.scanner import chunks
 from pairloom.llm.words import shingle_sets
 
-BROADCAST_ROWS = 500_000
-#: Postings that a map task gathers before it sends them; bytes of input a fragment; fragments.
-BUFFER, FRAGMENT_BYTES, MAX_FRAGMENTS = 1 << 20, 16 << 20, 65_536
-#: Share of the hash range in which nearly all prefixes lie.
+#: Rows that may be broadcast (at most about 100 bytes each).
+BROADCAST_ROWS = 100_000
+#: Postings that a map task gathers before it sends them; bytes of input a fragment; and
+#: tasks, of which each takes several fragments, one after the other, if there are more.
+BUFFER, FRAGMENT_BYTES, MAX_TASKS = 1 << 20, 8 << 20, 65_536
+#: Pairs that one row of requests may hold.
+ASKS = 1 << 16
+#: Share of the hash range in which nearly all prefixes of long sets lie. Half of the
+#: fragments cover it and half the rest, where those of short sets go on, so neither
+#: kind of corpus fills a fragment to more than about twice the mean.
 PREFIX_RANGE = 0.45
 CHUNK_SHINGLES, CHUNK_DOCS = 1 << 18, 1 << 16
 HEAD, HEAD_BYTES = "<III", 12
@@ -58,8 +64,42 @@ def margin(n: np.ndarray, percent: int) -> np.ndarray:
     return np.minimum(needed(n, percent), np.maximum(1, n // 5))
 
 
-def _fragment(h: np.ndarray, fragments: int, share: float) -> np.ndarray:
-    return np.minimum((h.astype(np.float64) * (fragments / share / 2.0**64)).astype(np.int64), fragments - 1)
+def _fragment(h: np.ndarray, fragments: int) -> np.ndarray:
+    return np.minimum((h.astype(np.float64) * (fragments / 2.0**64)).astype(np.int64), fragments - 1)
+
+
+def _prefix_fragment(h: np.ndarray, fragments: int) -> np.ndarray:
+    x = h.astype(np.float64) / 2.0**64
+    x = np.where(x < PREFIX_RANGE, x / (2 * PREFIX_RANGE), 0.5 + (x - PREFIX_RANGE) / (2 * (1 - PREFIX_RANGE)))
+    return np.minimum((x * fragments).astype(np.int64), fragments - 1)
+
+
+def _dealt(rows: DataFrame, fragments: int, key: str = "frag") -> DataFrame:
+    """rows with each fragment in one task; where a task has several, one after the other."""
+    if fragments <= MAX_TASKS:
+        return rows.repartitionById(fragments, F.col(key))
+    return rows.repartitionById(MAX_TASKS, F.pmod(F.col(key), F.lit(MAX_TASKS))).sortWithinPartitions(key)
+
+
+def _each_fragment(work):
+    """Runs work over the batches of each fragment of a task; the fragment is the first column."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        last = None
+        for batch in batches:
+            key = batch.column(0).to_numpy(zero_copy_only=False)
+            cut = _cuts(key)
+            for a, b in zip(cut, cut[1:]):
+                if held and key[a] != last:
+                    yield from work(held)
+                    held = []
+                held.append(batch.slice(a, b - a))
+                last = key[a]
+        if held:
+            yield from work(held)
+
+    return run
 
 
 def _cuts(key: np.ndarray) -> np.ndarray:
@@ -106,10 +146,10 @@ def _prefixes(fragments: int, size: int, percent: int):
                     frag=[int.from_bytes(x[8:12], "little") % fragments for x in fps], kind=[0] * len(docs), doc_id=[d[0] for d in docs], n=[d[1] for d in docs],
                     fp=fps, inst=[int(inst[k]) if k >= 0 else -1 for k in own], count=[int(local[k]) if k >= 0 else 0 for k in own],
                 )
-            part = _fragment(h, fragments, PREFIX_RANGE)
+            part = _prefix_fragment(h, fragments)
             order = np.lexsort((owner, part))
             h, owner, part = h[order].astype(np.uint32), owner[order], part[order]
-            mpart = _fragment(multi, fragments, PREFIX_RANGE)
+            mpart = _prefix_fragment(multi, fragments)
             multi = multi.astype(np.uint32)
             rows, data = [], []
             for f in np.union1d(part, mpart).tolist():
@@ -144,11 +184,10 @@ def _prefixes(fragments: int, size: int, percent: int):
     return run
 
 
-def _shared_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _shared_counts(batches: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A fragment's side of the viability test: how many of each set's shingles here are in
-    a different set too. Shingles are told apart by 32 bits within the fragment, which
-    can only count too many."""
-    trim()
+    a different set too. Sets are told apart by 64 bits of their fingerprints, shingles
+    by 32 within the fragment, which can only count too many."""
     inst, fp, counts, alone, multi = [], [], [], [], []
     for batch in batches:
         kind = batch.column(1).to_numpy()
@@ -167,13 +206,15 @@ def _shared_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         return
     inst, fp, counts, alone, multi = map(np.concatenate, (inst, fp, counts, alone, multi))
     owner = np.repeat(np.arange(len(inst)), counts)
-    key = alone.astype(np.uint64) << np.uint64(32) | (fp[owner] & np.uint64(0xFFFFFFFF))
-    order = np.argsort(key, kind="stable")
-    key, owner, low = key[order], owner[order], alone[order]
+    order = np.argsort(alone, kind="stable")
+    owner, low = owner[order], alone[order]
     cut = _cuts(low)
-    first, last = cut[:-1], cut[1:] - 1
-    shared = (key[first] != key[last]) | np.isin(low[first], multi)
-    found = np.bincount(owner[np.repeat(shared, np.diff(cut))], minlength=len(inst))
+    first, size = cut[:-1], np.diff(cut)
+    own = fp[owner]
+    shared = np.isin(low[first], multi)
+    if len(first):
+        shared |= np.maximum.reduceat(own, first) != np.minimum.reduceat(own, first)
+    found = np.bincount(owner[np.repeat(shared, size)], minlength=len(inst))
     at = np.flatnonzero(found)
     for a in range(0, len(at), 1 << 16):
         k = at[a : a + (1 << 16)]
@@ -222,7 +263,7 @@ def _ask_rarity(fragments: int):
         for batch in batches:
             for row in batch.to_pylist():
                 u, count = np.unique(_unpack(row)[3], return_counts=True)
-                part = _fragment(u, fragments, 1.0)
+                part = _fragment(u, fragments)
                 cut = _cuts(part)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(part[cut[:-1]], pa.int32()), pa.array([row["chunk"]] * (len(cut) - 1), pa.int64()), pa.array([u[a:b].tobytes() for a, b in zip(cut, cut[1:])], pa.binary()), pa.array([count[a:b].astype("<u4").tobytes() for a, b in zip(cut, cut[1:])], pa.binary())],
@@ -233,15 +274,13 @@ def _ask_rarity(fragments: int):
 
 
 def _answer_rarity(batches):
-    rows = [r for batch in batches for r in batch.to_pylist()]
-    if not rows:
-        return
-    sh = [np.frombuffer(r["shingles"], "<u8") for r in rows]
+    cols = [(b.column(0)[k].as_py(), b.column(1)[k].as_py(), b.column(2)[k].as_buffer(), b.column(3)[k].as_buffer()) for b in batches for k in range(b.num_rows)]
+    sh = [np.frombuffer(x[2], "<u8") for x in cols]
     u, inverse = np.unique(np.concatenate(sh), return_inverse=True)
-    total = np.bincount(inverse, np.concatenate([np.frombuffer(r["counts"], "<u4") for r in rows])).astype("<u4")
+    total = np.bincount(inverse, np.concatenate([np.frombuffer(x[3], "<u4") for x in cols])).astype("<u4")
     at = 0
-    for r, s in zip(rows, sh):
-        yield pa.RecordBatch.from_arrays([pa.array([r["chunk"]]), pa.array([r["frag"]], pa.int32()), pa.array([total[inverse[at : at + len(s)]].tobytes()], pa.binary())], ["chunk", "frag", "dfs"])
+    for (frag, chunk, _, _), s in zip(cols, sh):
+        yield pa.RecordBatch.from_arrays([pa.array([chunk]), pa.array([frag], pa.int32()), pa.array([total[inverse[at : at + len(s)]].tobytes()], pa.binary())], ["chunk", "frag", "dfs"])
         at += len(s)
 
 
@@ -286,7 +325,7 @@ def _send_pairs(fragments: int):
                 ends = np.cumsum(sizes)
                 take = np.concatenate([np.arange(ends[i] - sizes[i], ends[i]) for i in index])
                 s, own = sh[take], np.repeat(np.arange(len(who)), sizes[index])
-                part = _fragment(s, fragments, 1.0)
+                part = _fragment(s, fragments)
                 order = np.lexsort((own, part))
                 s, own, part = s[order], own[order], part[order]
                 pair = np.flatnonzero(c >= 0)
@@ -307,7 +346,6 @@ def _count_overlaps(buckets: int):
     """A fragment's partial overlaps: shingles that both sets of a pair have here."""
 
     def run(batches):
-        trim()
         parts = [[] for _ in range(7)]
         for batch in batches:
             for x in batch.column(1).to_pylist():
@@ -379,12 +417,16 @@ def _sum_overlaps(percent: int):
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, fragments: int, percent: int) -> DataFrame:
-    """(d, c, nc) -> (a, b) of the pairs whose sets are similar, by partial overlaps."""
+    """(d, c, nc) -> (a, b) of the pairs whose sets are similar, by partial overlaps. The
+    requests to a chunk of sets are cut into rows of about ASKS pairs."""
     asks = pairs.select("d", "c", "nc").unionByName(pairs.select(F.col("c").alias("d"), F.lit(None).cast("long").alias("c"), F.lit(None).cast("int").alias("nc")).distinct())
-    asks = asks.groupBy(F.shiftright("d", 16).alias("chunk")).agg(F.collect_list(F.struct("d", "c", "nc")).alias("asks"))
+    asks = asks.withColumn("chunk", F.shiftright("d", 16))
+    sizes = stored(asks.groupBy("chunk").agg(F.count(F.lit(1)).alias("n")), "ask-sizes")
+    cut = asks.join(small_side(sizes, row_count(sizes), BROADCAST_ROWS), "chunk").withColumn("part", F.pmod(F.xxhash64("d", "c"), F.expr(f"n div {ASKS} + 1")))
+    asks = cut.groupBy("chunk", "part").agg(F.collect_list(F.struct("d", "c", "nc")).alias("asks"))
     sent = sets.join(asks, "chunk").mapInArrow(_send_pairs(fragments), "frag int, data binary")
-    counted = sent.repartitionById(fragments, F.col("frag")).mapInArrow(_count_overlaps(fragments), "bucket int, data binary")
-    return counted.repartitionById(fragments, F.col("bucket")).mapInArrow(_sum_overlaps(percent), "a long, b long")
+    counted = _dealt(sent, fragments).mapInArrow(_each_fragment(_count_overlaps(fragments)), "bucket int, data binary")
+    return _dealt(counted, fragments, "bucket").mapInArrow(_each_fragment(_sum_overlaps(percent)), "a long, b long")
 
 
 def _set_links(sets: DataFrame, lists: DataFrame, fragments: int, percent: int) -> DataFrame:
@@ -402,6 +444,7 @@ def _set_links(sets: DataFrame, lists: DataFrame, fragments: int, percent: int)
         mixed = stored(shares.groupBy("shingle").agg(F.max(F.struct("sets", "label")).alias("most"), F.count(F.lit(1)).alias("labels")).filter("labels > 1").select("shingle", F.col("most.label").alias("largest")), "mixed")
         n_mixed = row_count(mixed)
         if not n_mixed:
+            discard(at, mixed)
             continue
         live = at.join(small_side(mixed, n_mixed, BROADCAST_ROWS), "shingle")
         if pivots:
@@ -417,9 +460,12 @@ def _set_links(sets: DataFrame, lists: DataFrame, fragments: int, percent: int)
         near = (F.col("label") != F.col("pl")) & enough(F.least("common", "pcommon"))
         if not pivots:  # pairs of two pivots come once
             near = near & enough(F.least(F.col("n") - F.col("at"), F.col("nc") - F.col("pat"))) & ((F.col("label") == F.col("largest")) | (F.col("nid") < F.col("c")))
-        pairs = live.join(small_side(pivot, row_count(pivot), BROADCAST_ROWS), "shingle").filter(near).select("c", F.col("nid").alias("d"), "nc").distinct()
-        links = stored(_linked(stored(pairs, "pairs"), sets, fragments, percent), "links")
+        pairs = stored(live.join(small_side(pivot, row_count(pivot), BROADCAST_ROWS), "shingle").filter(near).select("c", F.col("nid").alias("d"), "nc").distinct(), "pairs")
+        discard(at, mixed, pivot)
+        links = stored(_linked(pairs, sets, fragments, percent), "links")
+        discard(pairs)
         if not links.take(1):
+            discard(links)
             continue
         known = labels.withColumnRenamed("node", "x").withColumnRenamed("label", "lx")
         side = lambda c: F.coalesce("lx", c)
@@ -429,7 +475,8 @@ def _set_links(sets: DataFrame, lists: DataFrame, fragments: int, percent: int)
         n_merged = row_count(merged)
         old = labels.join(small_side(merged.select(F.col("node").alias("label"), F.col("label").alias("to")), n_merged, BROADCAST_ROWS), "label", "left").select("node", F.coalesce("to", "label").alias("label"))
         fresh = merged.join(small_side(labels.select("node"), n_labels, BROADCAST_ROWS), "node", "left_anti") if n_labels else merged
-        labels = stored(old.unionByName(fresh.select("node", "label")), "set-labels")
+        before, labels = labels, stored(old.unionByName(fresh.select("node", "label")), "set-labels")
+        discard(before, links, merged)
         n_labels = row_count(labels)
     return labels.withColumnRenamed("node", "nid")
 
@@ -447,10 +494,10 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, fragments
     spark = docs.sparkSession
     ship(spark)
     bytes_in = planned_bytes(docs.select("doc_id", "text"))
-    fragments = fragments or int(min(MAX_FRAGMENTS, max(8, bytes_in // FRAGMENT_BYTES)))
+    fragments = fragments or int(max(8, bytes_in // FRAGMENT_BYTES))
     raw = docs.select(F.col("doc_id").cast("long"), whole_text().cast("binary").alias("text"))
-    sent = raw.mapInArrow(_prefixes(fragments, size, percent), _VIABLE).repartitionById(fragments, F.col("frag"))
-    seen = stored(sent.mapInArrow(_shared_counts, _VIABLE).drop("frag", "data"), "viability")
+    sent = _dealt(raw.mapInArrow(_prefixes(fragments, size, percent), _VIABLE), fragments)
+    seen = stored(sent.mapInArrow(_each_fragment(_shared_counts), _VIABLE).drop("frag", "data"), "viability")
     meta = seen.filter("kind = 0").select("doc_id", "n", "fp", "inst", "count")
     counts = seen.filter("kind = 2").groupBy("inst").agg(F.sum("count").alias("more"))
     need = F.expr(f"-(({-percent} * n) div 100) + case when ({percent} * n) % 100 = 0 then 0 else 1 end")
@@ -460,9 +507,10 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, fragments
     reps = stored(classes.join(able, "fp", "left_semi").select(F.col("rep").alias("doc_id")).distinct(), "viable")
     n_reps = row_count(reps)
     sets = stored(raw.join(small_side(reps, n_reps, BROADCAST_ROWS), "doc_id", "left_semi").mapInArrow(_set_chunks(size), _CHUNK), "sets")
-    parts = int(min(fragments, max(4, n_reps // 2000)))
-    answers = sets.select("chunk", "nids", "reps", "sizes", "shingles").mapInArrow(_ask_rarity(parts), "frag int, chunk long, shingles binary, counts binary").repartitionById(parts, F.col("frag"))
-    answers = answers.mapInArrow(_answer_rarity, "chunk long, frag int, dfs binary").groupBy("chunk").agg(F.collect_list(F.struct("frag", "dfs")).alias("answers"))
+    shingles = sets.agg(F.sum(F.octet_length("shingles"))).first()[0] or 0
+    parts = int(max(4, shingles // FRAGMENT_BYTES))
+    answers = _dealt(sets.select("chunk", "nids", "reps", "sizes", "shingles").mapInArrow(_ask_rarity(parts), "frag int, chunk long, shingles binary, counts binary"), parts)
+    answers = answers.mapInArrow(_each_fragment(_answer_rarity), "chunk long, frag int, dfs binary").groupBy("chunk").agg(F.collect_list(F.struct("frag", "dfs")).alias("answers"))
     lists = stored(sets.join(answers, "chunk").mapInArrow(_rare_prefixes(percent), "shingle long, nid long, n int, common int, at int, lead boolean"), "prefixes")
     labels = _set_links(sets, lists, parts, percent)
 
