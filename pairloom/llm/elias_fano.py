@@ -32,6 +32,8 @@ TOKENIZER = "byte_bpe_50k.json"
 MAGIC = b"EFIDS001"
 HEADER = struct.Struct("<8sIIQQqQQ")  # magic, bytes an id, null doc_ids, documents, ids, lowest doc_id, sizes of both sequences
 SAMPLE = 64
+#: Documents whose offsets a reader has decoded at a time.
+READ_DOCS = 4096
 #: A shard has this many documents, or more where that would make over MAX_SHARDS; a file at most FILE_IDS ids.
 SHARD_DOCS, MAX_SHARDS, FILE_IDS = 4096, 65_536, 1 << 24
 
@@ -84,6 +86,22 @@ class EliasFano:
         place = byte * 8 + int(np.flatnonzero(bits)[left])
         return ((place - i) << self.low_bits) | self._low_of(i)
 
+    def select_range(self, i: int, j: int) -> np.ndarray:
+        """The numbers i to j - 1: only what lies between two sampled places is decoded."""
+        if i >= j:
+            return np.empty(0, np.int64)
+        place, after = int(self.samples[i // SAMPLE]), -(-j // SAMPLE)
+        byte = place // 8
+        bits = np.unpackbits(self.high[byte : int(self.samples[after]) // 8 + 1 if after < len(self.samples) else len(self.high)])
+        bits[: place % 8] = 0
+        places = np.flatnonzero(bits)[i % SAMPLE : i % SAMPLE + j - i] + byte * 8
+        out = (places - np.arange(i, j)).astype(np.int64) << self.low_bits
+        if self.low_bits:
+            a, b = i * self.low_bits, j * self.low_bits
+            low = np.unpackbits(self.low[a // 8 : (b + 7) // 8])[a % 8 : a % 8 + b - a].reshape(j - i, self.low_bits)
+            out |= low.astype(np.int64) @ (np.int64(1) << np.arange(self.low_bits, dtype=np.int64))
+        return out
+
     def all(self) -> np.ndarray:
         places = np.flatnonzero(np.unpackbits(self.high))[: self.n]
         out = (places - np.arange(self.n)).astype(np.int64) << self.low_bits
@@ -161,8 +179,10 @@ class IdFile:
         """Where document i's ids begin and end, by select."""
         return (self.ends.select(i - 1) if i else 0), self.ends.select(i)
 
-    def doc_ids(self) -> list[int | None]:
-        return [None] * self.nulls + (self.names.all() + self.base).tolist()
+    def doc_ids(self, i: int, j: int) -> list[int | None]:
+        """Those of the documents i to j - 1; null ones come first."""
+        known = self.names.select_range(max(0, i - self.nulls), max(0, j - self.nulls)) + self.base
+        return [None] * max(0, min(j, self.nulls) - i) + known.tolist()
 
 
 def _write(path: str, width: int):
@@ -222,17 +242,19 @@ def write_token_files(docs: DataFrame, tokenizer: str = TOKENIZER, end_id: int =
 
 
 def read_token_files(manifest: DataFrame) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 of every document, from the files."""
+    """doc_id, start, n_tokens, ids_crc32 of every document, from the files: offsets come from
+    the select structure, READ_DOCS documents at a time."""
     ship(manifest.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, start in zip(*(c.to_pylist() for c in batch.columns)):
                 f = IdFile(read_range(path))
-                ends = f.ends.all()
-                begins = np.r_[0, ends[:-1]]
-                ids = f.ids.astype("<u4")
-                crc = [zlib.crc32(ids[a:b]) for a, b in zip(begins.tolist(), ends.tolist())]
-                yield pa.RecordBatch.from_arrays([pa.array(f.doc_ids(), pa.int64()), pa.array(begins + start), pa.array(ends - begins), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
+                for i in range(0, f.docs, READ_DOCS):
+                    j = min(f.docs, i + READ_DOCS)
+                    ends = f.ends.select_range(i, j)
+                    begins = np.r_[f.ends.select(i - 1) if i else 0, ends[:-1]]
+                    crc = [zlib.crc32(f.ids[a:b].astype("<u4")) for a, b in zip(begins.tolist(), ends.tolist())]
+                    yield pa.RecordBatch.from_arrays([pa.array(f.doc_ids(i, j), pa.int64()), pa.array(begins + start), pa.array(ends - begins), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     return manifest.select("path", "start").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
