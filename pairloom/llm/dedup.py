@@ -210,10 +210,13 @@ def exact_dedup(docs: DataFrame, keep: str = "largest", digest_bytes: int = WIDT
     n_hits, rows = row_count(hits), row_count(known)
 
     # Byte verification: rows of a hit are grouped by their very text. Copies within
-    # a task fold before the shuffle, so a large group sends one row per task.
+    # a task fold before the shuffle, so a large group sends one row per task; heavy
+    # digests meet their texts by a broadcast, so that they are not shuffled before.
     texts = docs.select("doc_id", whole_text().alias("text")).withColumn("digest", F.unhex(F.sha2("text", 256)) if digest_bytes == WIDTH else key)
     best = F.max if keep == "largest" else F.min
-    verified = texts.join(small_side(hits.select("digest"), n_hits, BROADCAST_ROWS), "digest").groupBy("digest", "text").agg(best("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+    sizes = hits.select("digest", F.col("group_size").alias("_copies"))
+    copies = join_groups(texts, sizes, "digest", "_copies", rows, n_hits <= BROADCAST_ROWS).filter("_copies is not null")
+    verified = copies.groupBy("digest", "text").agg(best("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
     split = stored(verified.groupBy("digest").agg(F.count(F.lit(1)).alias("texts")).filter("texts > 1").select("digest"), "digest-splits") if n_hits else hits.select("digest")
     n_split = row_count(split) if n_hits else 0
 
