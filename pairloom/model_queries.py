@@ -12,6 +12,7 @@ from pairloom.operators import genmap as G
 from pairloom.operators import intervals as I
 from pairloom.operators import islands as L
 from pairloom.operators import panel as P
+from pairloom.operators import report
 from pairloom.operators import rows as R
 from pairloom.operators import tracks as T
 from pairloom.registry import query
@@ -97,6 +98,20 @@ def population_agreement(spark, sf_dir):
     return I.agreement(of("called"), of("state"), ["sample", "label"])
 
 
+@query(f"""WITH {V.TRACK}, c AS (SELECT *, CASE WHEN value < 7 THEN 0 WHEN value < 15 THEN 1 ELSE 2 END AS called FROM track), l AS (SELECT *, lag(state) OVER w AS s0, lag(called) OVER w AS c0 FROM c WINDOW w AS (PARTITION BY sample ORDER BY pos))
+    SELECT sample, count(*) AS n_windows, round(avg(CASE WHEN state = called THEN 1.0 ELSE 0.0 END), 6) AS concordance, count(*) FILTER (s0 <> state) AS n_true_switches, count(*) FILTER (c0 <> called) AS n_predicted_switches FROM l GROUP BY 1""")
+def concordance_report(spark, sf_dir):
+    """What SQL can say of the report; the greedy matching has its own tests."""
+    t = V.track(spark, sf_dir).withColumn("called", F.expr("case when value < 7 then 0 when value < 15 then 1 else 2 end"))
+    found = report.concordance(t, ["sample"], "pos", "called", "state", 50)
+    return found.select("sample", "n_windows", F.round("concordance", 6).alias("concordance"), "n_true_switches", "n_predicted_switches")
+
+
+@query(f"WITH {V.SEGMENTS} SELECT chrom, hap_a, w AS start_bp FROM (SELECT chrom, hap_a, min(start_bp) AS lo, max(end_bp) AS hi FROM seg GROUP BY 1, 2), unnest(range(lo, hi, 100000)) t(w)")
+def grid_starts(spark, sf_dir):
+    return report.grid_starts(V.segments(spark, sf_dir), ["chrom", "hap_a"], 100_000)
+
+
 # Gold segments.
 
 _GOLD = "gold AS (SELECT chrom, split_part(hap_a, '#', 1) AS sample1, split_part(hap_b, '#', 1) AS sample2, start_bp, end_bp, lod FROM seg)"

@@ -70,6 +70,8 @@ class PaintOptions:
     auto_floor: bool = False
     auto_configure: bool = False
     spread_boost: bool = False
+    #: Scale of exp(-distance / scale), by which switches prefer populations with close profiles; 0: none.
+    closeness: float = 0.0
     #: Steps by distance (a map is an argument of paint), training, and the decoders' ways.
     window: int = 10_000
     distance_transitions: bool = False
@@ -279,10 +281,11 @@ def _retrained(e: np.ndarray, init: np.ndarray, trans: np.ndarray, k: int, switc
     return np.log(estimates.train_transitions(None, moves, np.exp(transitions(k, switch)), o.dampening))
 
 
-def _decode(groups: list[pd.DataFrame], k: int, switch: float, o: PaintOptions) -> pd.DataFrame:
+def _decode(groups: list[pd.DataFrame], k: int, switch: float, o: PaintOptions, means: list[float] | None = None) -> pd.DataFrame:
     e, lengths = chain.stack([np.array(g["e"].tolist(), float) for g in groups])
     e = np.where(np.isfinite(e), e, -1e3)
-    init, trans = np.full((len(groups), k), -math.log(k)), np.broadcast_to(transitions(k, switch), (len(groups), k, k))
+    base = rules.population_aware(np.array(means), 1 - switch, o.closeness) if means and o.closeness and k > 1 else transitions(k, switch)
+    init, trans = np.full((len(groups), k), -math.log(k)), np.broadcast_to(base, (len(groups), k, k))
     if groups[0]["s"].notna().any():
         steps = chain.stack([step_matrices(g["s"].to_numpy(float)[1:], k) for g in groups])[0]
         trans = steps if steps.shape[1] else trans
@@ -337,9 +340,10 @@ def _decode(groups: list[pd.DataFrame], k: int, switch: float, o: PaintOptions)
     return pd.concat(out)
 
 
-def decode_windows(emitted: DataFrame, k: int, switch: float, o: PaintOptions = PaintOptions()) -> DataFrame:
+def decode_windows(emitted: DataFrame, k: int, switch: float, o: PaintOptions = PaintOptions(), means: list[float] | None = None) -> DataFrame:
     """Every window with its state and the posteriors of all; one shuffle by sample and
-    chromosome, many sequences decoded at once. Samples of under 3 windows have none."""
+    chromosome, many sequences decoded at once. Samples of under 3 windows have none. means:
+    the populations' mean similarities, for switches by closeness."""
     schema = "sample string, chrom string, start_bp long, end_bp long, sims array<double>, e array<double>, idx int, state int, posteriors array<double>"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -353,12 +357,12 @@ def decode_windows(emitted: DataFrame, k: int, switch: float, o: PaintOptions =
                     size += b - a
             rest = rest.iloc[cut[-1] :]
             if size >= BATCH_ROWS:
-                yield _decode(ready, k, switch, o)
+                yield _decode(ready, k, switch, o, means)
                 ready, size = [], 0
         if rest is not None and len(rest) >= 3:
             ready.append(rest)
         if ready:
-            yield _decode(ready, k, switch, o)
+            yield _decode(ready, k, switch, o, means)
 
     rows = (emitted if "s" in emitted.columns else with_steps(emitted, switch, o)).select(*KEYS, "start_bp", "end_bp", "sims", "e", "s")
     return rows.repartition(*KEYS).sortWithinPartitions(*KEYS, "start_bp").mapInPandas(run, schema)
@@ -398,7 +402,36 @@ def painted(pairs: DataFrame, populations: DataFrame, queries: list[str], names:
         temperature = min(temperature * math.sqrt(ratio / 2), 0.15)
     switch = estimate_switch(seen) if o.estimate else o.switch
     emitted = with_steps(emit(seen, len(names), temperature, o, long, names), switch, o, gmap)
-    return decode_windows(emitted, len(names), switch, o)
+    means = None
+    if o.closeness:
+        by = {r.population: r.mean for r in P.normalization(seen, names).collect()}
+        means = [by[n] for n in names]
+    return decode_windows(emitted, len(names), switch, o, means)
+
+
+def folds(populations: DataFrame, k: int) -> DataFrame:
+    """fold of each reference haplotype, dealt out in turn by name within its population;
+    populations of one haplotype are in no fold."""
+    w = Window.partitionBy("population")
+    return populations.withColumn("fold", F.when(F.count(F.lit(1)).over(w) >= 2, (F.row_number().over(w.orderBy("haplotype")) - 1) % max(k, 2)))
+
+
+def cross_validate_folds(pairs: DataFrame, populations: DataFrame, names: list[str], k: int = 5, o: PaintOptions = PaintOptions()) -> DataFrame:
+    """cross_validated over k folds: each fold's haplotypes are painted with the others. The
+    panel is a list that the driver knows; a fold is one painting."""
+    dealt = [(r.population, r.haplotype, r.fold) for r in folds(populations, k).collect()]
+    parts = []
+    for fold in range(max(k, 2)):
+        tests = [h for _, h, f in dealt if f == fold]
+        rest = [(p, h) for p, h, f in dealt if f != fold]
+        if tests and rest:
+            parts.append(painted(pairs, populations.sparkSession.createDataFrame(rest, "population string, haplotype string"), tests, names, o))
+    if not parts:
+        raise ValueError("no population has two haplotypes")
+    every = parts[0]
+    for p in parts[1:]:
+        every = every.unionByName(p)
+    return cross_validated(every, populations, names)
 
 
 def normalized_temperature(seen: DataFrame, names: list[str]) -> float:
