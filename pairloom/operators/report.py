@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pairloom.kernels.states import match_switches
 from pairloom.operators.intervals import agreement
 from pairloom.operators.islands import runs, switch_points
+from pairloom.shipping import ship
 
 
 def concordance(rows: DataFrame, keys: list[str], order: str, ours: str, truth: str, tolerance: float = 1) -> DataFrame:
@@ -18,6 +19,7 @@ def concordance(rows: DataFrame, keys: list[str], order: str, ours: str, truth:
 
     Windows are compared in the JVM; only switch positions, at most a chromosome's windows,
     go to Python, to be matched in order."""
+    ship(rows.sparkSession)
     share = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_windows"), F.avg((F.col(ours) == F.col(truth)).cast("double")).alias("concordance"))
     switches = [switch_points(rows, keys, order, c).select(*keys, F.col("position").cast("double").alias("position"), F.lit(k).alias("side")) for k, c in enumerate((ours, truth))]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in share.select(*keys).schema) + ", n_true_switches long, n_predicted_switches long, n_detected long, n_spurious long, detection_rate double, switch_precision double, mean_distance double"

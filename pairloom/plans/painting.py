@@ -20,6 +20,7 @@ from pairloom.operators import genmap as G
 from pairloom.operators import panel as P
 from pairloom.operators.islands import runs
 from pairloom.operators.rows import mask_out, query_reference
+from pairloom.shipping import ship
 
 KEYS = ["sample", "chrom"]
 BATCH_ROWS = 100_000
@@ -344,6 +345,7 @@ def decode_windows(emitted: DataFrame, k: int, switch: float, o: PaintOptions =
     """Every window with its state and the posteriors of all; one shuffle by sample and
     chromosome, many sequences decoded at once. Samples of under 3 windows have none. means:
     the populations' mean similarities, for switches by closeness."""
+    ship(emitted.sparkSession)
     schema = "sample string, chrom string, start_bp long, end_bp long, sims array<double>, e array<double>, idx int, state int, posteriors array<double>"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -467,6 +469,7 @@ def timing(segments: DataFrame, o: TimingOptions = TimingOptions(), per_sample:
     """Pulses per population, pooled or for each sample, from the segments' lengths. Equal
     lengths are counted before the shuffle, so a fit gets the distinct ones, which are no
     more than the windows of a chromosome."""
+    ship(segments.sparkSession)
     schema = "sample string, population string, n_tracts long, n_pulses int, pulse_idx int, generations double, proportion double, rate double, bic double, log_likelihood double, ks_statistic double, ks_rejected boolean"
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:

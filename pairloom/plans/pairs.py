@@ -17,6 +17,7 @@ from pairloom.operators.aggregates import contrast_adjust
 from pairloom.operators.genmap import interpolate
 from pairloom.operators.islands import composite_filter, merge_nearby, shared_segments
 from pairloom.operators.rows import mask_out
+from pairloom.shipping import ship
 
 KEYS = ["chrom", "hap_a", "hap_b"]
 BATCH_ROWS = 100_000
@@ -122,6 +123,7 @@ def decode_windows(pairs: DataFrame, options: PairOptions = PairOptions(), mask:
     One shuffle brings a pair's windows together in order; a task reads whole pairs off
     its sorted rows and decodes many at once, so its memory holds a batch of pairs."""
     o = options
+    ship(pairs.sparkSession)
     rows = pairs.filter(F.col("identity") >= o.identity_floor)
     if mask is not None:
         rows = mask_out(rows, mask)
