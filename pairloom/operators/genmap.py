@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+#: Positions are sorted by bins of 2**BIN_BITS base pairs.
+BIN_BITS = 20
+
 
 def uniform_map(spark: SparkSession, chrom: str, start: int, end: int, rate: float) -> DataFrame:
     """A map of one piece: rate centimorgans a megabase from start to end."""
@@ -24,19 +27,30 @@ def interpolate(rows: DataFrame, gmap: DataFrame, position: str = "pos", name: s
     extrapolated with the rate of the first and last piece. A map of one entry has no rate;
     chromosomes without a map give null.
 
-    Map and distinct positions are merged in one order, and a position takes the entry
-    before it, or else the first one. There are at most a chromosome's windows in a sort."""
+    Map and distinct positions are merged in one order by chromosome and bin, where a
+    position takes the entry before it. A bin starts with the last entry before it, or else
+    with the chromosome's first one; only bins and entries are sorted by chromosome."""
     w = Window.partitionBy("chrom").orderBy("bp", "cm")
     rate = lambda cm1, bp1, cm0, bp0: F.when(bp1 > bp0, (cm1 - cm0) / (bp1 - bp0)).otherwise(0.0)
     nb, nc, pb, pc = F.lead("bp").over(w), F.lead("cm").over(w), F.lag("bp").over(w), F.lag("cm").over(w)
     own = F.when(nb.isNotNull(), rate(nc, nb, F.col("cm"), F.col("bp"))).when(pb.isNotNull(), rate(F.col("cm"), F.col("bp"), pc, pb)).otherwise(0.0)
-    pieces = gmap.select("chrom", F.col("bp").cast("long").alias("_p"), F.lit(0).alias("_row"), F.col("cm").alias("_o"), F.struct(F.col("bp").cast("long").alias("bp"), "cm", own.alias("rate")).alias("_piece"))
-    asked = rows.select("chrom", F.col(position).cast("long").alias("_p")).distinct()
-    both = pieces.unionByName(asked.select("chrom", "_p", F.lit(1).alias("_row"), F.lit(0.0).alias("_o"), F.lit(None).cast(pieces.schema["_piece"].dataType).alias("_piece")))
-    order = Window.partitionBy("chrom").orderBy("_p", "_row", "_o")
-    last = F.last("_piece", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    first = F.first("_piece", ignorenulls=True).over(order.rowsBetween(Window.currentRow, Window.unboundedFollowing))
-    found = both.withColumn("_at", F.coalesce(last, first)).filter("_row = 1")
+    bin_of = lambda c: F.shiftright(c, BIN_BITS)
+    bp = F.col("bp").cast("long")
+    entries = gmap.select("chrom", bin_of(bp).alias("_bin"), bp.alias("_p"), F.lit(0).alias("_row"), F.col("cm").alias("_o"), F.struct(bp.alias("bp"), "cm", own.alias("rate")).alias("_piece"), F.row_number().over(w).alias("_k"))
+    none = F.lit(None).cast(entries.schema["_piece"].dataType).alias("_piece")
+    asked = rows.select("chrom", F.col(position).cast("long").alias("_p")).filter("chrom is not null and _p is not null").distinct()
+    asked = asked.select("chrom", bin_of("_p").alias("_bin"), "_p", F.lit(1).alias("_row"), F.lit(0.0).alias("_o"), none)
+    until_now = lambda o: F.last("_piece", ignorenulls=True).over(o.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+
+    # Bins, each before its own entries; a chromosome's first entry holds before all bins.
+    first = entries.filter("_k = 1").withColumn("_bin", F.lit(None).cast("long"))
+    entries, first = entries.drop("_k"), first.drop("_k")
+    starts = asked.select("chrom", "_bin").distinct().select("chrom", "_bin", F.shiftleft("_bin", BIN_BITS).alias("_p"), F.lit(-1).alias("_row"), F.lit(0.0).alias("_o"), none)
+    bins = entries.unionByName(first).unionByName(starts)
+    starts = bins.withColumn("_piece", until_now(Window.partitionBy("chrom").orderBy("_bin", "_row", "_p", "_o"))).filter("_row = -1")
+
+    both = entries.unionByName(starts).unionByName(asked)
+    found = both.withColumn("_at", until_now(Window.partitionBy("chrom", "_bin").orderBy("_p", "_row", "_o"))).filter("_row = 1")
     cm = F.col("_at.cm") + F.col("_at.rate") * (F.col("_p") - F.col("_at.bp"))
     return rows.join(found.select(F.col("chrom").alias("_c"), "_p", cm.alias(name)), (F.col("chrom") == F.col("_c")) & (F.col(position) == F.col("_p")), "left").drop("_c", "_p")
 

@@ -1,6 +1,7 @@
 """Genetic maps against plain Python, and both models along a map."""
 
 import math
+import time
 
 import numpy as np
 import pytest
@@ -37,6 +38,30 @@ def test_interpolation(spark):
             assert abs(r.cm_at - at(MAPS[r.chrom], r.pos)) < 1e-9, r
 
 
+def test_interpolation_over_many_bins(spark):
+    size = 1 << G.BIN_BITS
+    entries = {"1": [(-5 * size, 0.5), (-size - 3, 1.0), (size, 2.0), (size + 7, 2.5), (3 * size - 1, 3.0), (40 * size, 9.0)], "2": [(9 * size, 3.0)]}
+    gmap = spark.createDataFrame([(c, b, m) for c, es in entries.items() for b, m in es], "chrom string, bp long, cm double")
+    places = sorted({k * size + d for k in (-9, -5, -2, -1, 0, 1, 2, 3, 20, 39, 40, 41, 300) for d in (0, 1, 7, size // 2, size - 1)})
+    asked = [(c, x) for c in (*entries, "4", None) for x in (*places, None)]
+    got = G.interpolate(spark.createDataFrame(asked, "chrom string, pos long"), gmap).collect()
+    assert len(got) == len(asked)
+    for r in got:
+        if r.chrom in entries and r.pos is not None:
+            assert abs(r.cm_at - at(entries[r.chrom], r.pos)) < 1e-9, r
+        else:
+            assert r.cm_at is None, r
+
+
+def test_interpolation_takes_linear_time(spark):
+    n = 200_000
+    rows = spark.range(n).selectExpr("'1' as chrom", "id * 400 as pos")
+    gmap = G.uniform_map(spark, "1", 0, 1_000_000, 1.5)
+    began = time.monotonic()
+    off = G.interpolate(rows, gmap).filter("abs(cm_at - pos * 1.5e-6) < 1e-6").count()
+    assert off == n and time.monotonic() - began < 60
+
+
 def test_summary_and_uniform(spark):
     s = G.summary(G.uniform_map(spark, "1", 0, 2_000_000, 1.5)).first()
     assert (s.entries, s.length_cm, s.cm_per_mb) == (2, 3.0, 1.5)
