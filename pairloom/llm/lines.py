@@ -83,12 +83,13 @@ def prefixes(lines: DataFrame, levels: DataFrame, percent: int) -> DataFrame:
     """doc, h, line_no, n, sig, skip, prefix: of each line's first words in order of rarity
     those that may be in another line, after `skip` that are in none. There is no filter on
     what is computed here: it would be pushed down and all of it be computed twice. The
-    table of levels is read once a word, so that it is not copied to the rows."""
+    hashes are used once, so that they and the table of levels stay in one projection: as a
+    column between two, the table would be copied to each row."""
     rows = lines.select("doc", "h", "line_no", hashes("line").alias("hs")).withColumn("levels", levels.scalar())
     code = f"shiftleft(cast(levels[cast(x & {CELLS - 1} as int)] as bigint), 56) | shiftrightunsigned(x, 8)"
-    sig = "aggregate(hs, 0L, (a, x) -> a ^ shiftleft(1L, cast(x & 63 as int)))"
-    rows = rows.selectExpr(*LINE, "size(hs) as n", f"sort_array(transform(hs, x -> {code})) as codes", f"{sig} as sig")
-    rows = rows.selectExpr(*LINE, "n", "sig", f"slice(codes, 1, cast(n - ({percent}L * n + 99) div 100 + 1 as int)) as first")
+    rows = rows.selectExpr(*LINE, f"sort_array(transform(hs, x -> {code})) as codes")
+    sig = "aggregate(codes, 0L, (a, x) -> a ^ shiftleft(1L, cast(x & 63 as int)))"
+    rows = rows.selectExpr(*LINE, "size(codes) as n", f"{sig} as sig", f"slice(codes, 1, cast(size(codes) - ({percent}L * size(codes) + 99) div 100 + 1 as int)) as first")
     rows = rows.selectExpr(*LINE, "n", "sig", "size(first) as words", f"filter(first, c -> c >= {1 << 56}) as prefix")
     return rows.selectExpr(*LINE, "n", "sig", "words - size(prefix) as skip", "prefix")
 
@@ -114,6 +115,7 @@ def may_fit(y: str, x: str, percent: int) -> str:
     return f"(100L * least({x}n, {y}n) >= {percent}L * greatest({x}n, {y}n) and least({x}n - {x}at, {y}n - {y}at) >= {least} and bit_count({x}sig ^ {y}sig) <= {x}n + {y}n - 2 * {least})"
 
 
+PARTNER = ["y_doc", "y_h", "y_line_no"]
 PAIR = ("x.doc", "x.h", "x.line_no", "y.doc as y_doc", "y.h as y_h", "y.line_no as y_line_no")
 
 
@@ -132,21 +134,47 @@ def candidates(posts: DataFrame, percent: int) -> DataFrame:
     return found.selectExpr(*PAIR, "x.settled", "x.code", "x.salt", "x.n", "x.at", "x.sig", "filter(array(x.p0, x.p1), p -> x.settled) as pivots")
 
 
+def ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(*LINE).union(pairs.select(*PARTNER)).distinct()
+
+
+def meet(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs p with the sets x and y of their ends, which both read one shuffle of the sets."""
+    one = pairs.alias("p").join(sets.alias("x"), F.expr("p.doc = x.doc and p.h = x.h and p.line_no = x.line_no"))
+    return one.join(sets.alias("y"), F.expr("p.y_doc = y.doc and p.y_h = y.h and p.y_line_no = y.line_no"))
+
+
 def verified(docs: DataFrame, pairs: DataFrame, percent: int, name: str) -> DataFrame:
     """doc, h, line_no of the lines that have a similar partner among pairs, by their whole
-    sets. Both ends of the pairs read one shuffle of the sets."""
+    sets. As each pair carries a set from one end to the other, pairs meet with the distinct
+    upper 16 bits of the hashes first: two lines share at most as many words as of these,
+    and as the words that fall together in either line. Of the pairs left a line's first
+    one decides, and the others only where that one is not similar."""
     pairs = stored(pairs.distinct(), f"{name}-pairs")
-    ends = pairs.select(*LINE).union(pairs.select("y_doc", "y_h", "y_line_no"))
-    wanted = stored(ends.distinct().groupBy("doc", "h").agg(F.sort_array(F.collect_list("line_no")).alias("some")), f"{name}-wanted")
+    wanted = stored(ends(pairs).groupBy("doc", "h").agg(F.sort_array(F.collect_list("line_no")).alias("some")), f"{name}-wanted")
     rows = docs.join(small_side(wanted, row_count(wanted), BROADCAST_ROWS), ["doc", "h"])
     lines = rows.withColumn("lines", F.split("text", "\n")).select("doc", "h", F.expr("inline(transform(some, i -> struct(i as line_no, lines[i] as line)))"))
-    sets = stored(lines.select(*LINE, hashes("line").alias("hs")), f"{name}-sets").filter("doc is not null and h is not null and line_no is not null")
-    one = pairs.alias("p").join(sets.alias("x"), F.expr("p.doc = x.doc and p.h = x.h and p.line_no = x.line_no"))
-    both = one.join(sets.alias("y"), F.expr("p.y_doc = y.doc and p.y_h = y.h and p.y_line_no = y.line_no"))
-    shared = "size(array_intersect(x.hs, y.hs))"
-    similar = both.filter(f"100L * {shared} >= {percent}L * (size(x.hs) + size(y.hs) - {shared})")
-    found = stored(similar.selectExpr("p.doc", "p.h", "p.line_no").distinct(), f"{name}-repeats")
-    discard(pairs, wanted, sets)
+    short = "array_distinct(transform(hs, x -> cast(shiftrightunsigned(x, 48) - 32768 as smallint)))"
+    sets = lines.select(*LINE, hashes("line").alias("hs")).selectExpr(*LINE, "hs", "size(hs) as n", f"{short} as short")
+    sets = stored(sets, f"{name}-sets").filter("doc is not null and h is not null and line_no is not null")
+
+    most = "(size(array_intersect(x.short, y.short)) + least(x.n - size(x.short), y.n - size(y.short)))"
+    likely = meet(pairs, sets.select(*LINE, "n", "short")).filter(f"{100 + percent}L * {most} >= {percent}L * (x.n + y.n)").select("p.*")
+    likely = stored(likely.withColumn("turn", F.row_number().over(Window.partitionBy(*LINE).orderBy(*PARTNER))), f"{name}-likely")
+
+    def similar(some: DataFrame, turn: str) -> DataFrame:
+        of = stored(ends(some), f"{name}-{turn}-ends")
+        own = sets.select(*LINE, "hs").join(small_side(of, row_count(of), BROADCAST_ROWS), LINE, "left_semi")
+        found = meet(some, own).filter(f"{100 + percent}L * size(array_intersect(x.hs, y.hs)) >= {percent}L * (size(x.hs) + size(y.hs))")
+        found = stored(found.selectExpr("p.doc", "p.h", "p.line_no").distinct(), f"{name}-{turn}-repeats")
+        discard(of)
+        return found
+
+    found = similar(likely.filter("turn = 1"), "first")
+    others = stored(likely.filter("turn > 1").join(small_side(found, row_count(found), BROADCAST_ROWS), LINE, "left_anti"), f"{name}-others")
+    if row_count(others):
+        found = found.unionByName(similar(others, "others"))
+    discard(pairs, wanted, sets, likely, others)
     return found
 
 
@@ -178,7 +206,7 @@ def repeated_lines(docs: DataFrame, percent: int = 80) -> tuple[DataFrame, bool]
     discard(gone, levels)
     settled = found.filter("settled").select(*LINE, "code", "salt", "n", "at", "sig", "pivots")
     chosen = settled.select(*LINE, "n", "at", "sig", F.explode("pivots").alias("y")).filter(f"{before('y.', '')} and {may_fit('y.', '', percent)}").selectExpr(*LINE, "y.doc as y_doc", "y.h as y_h", "y.line_no as y_line_no")
-    pairs = found.filter("y_doc is not null").select(*LINE, "y_doc", "y_h", "y_line_no").unionByName(chosen)
+    pairs = found.filter("y_doc is not null").select(*LINE, *PARTNER).unionByName(chosen)
     first = verified(docs, pairs, percent, "first")
 
     # Lines that were compared with a few others of their list, or of its part, only: they

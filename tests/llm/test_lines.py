@@ -8,7 +8,9 @@ import pytest
 sys.path.insert(0, os.path.dirname(__file__))
 from cases import ODD, documents
 
-from pairloom.llm.lines import dedup_lines
+from pairloom.llm import lines
+from pairloom.llm.common import stored
+from pairloom.llm.lines import CELLS, dedup_lines, kept_lines, keyed, prefixes, verified
 
 
 def brute(rows, percent=80):
@@ -78,3 +80,27 @@ def test_odd_rows(spark):
     data = ODD + [(8, "one three two\n\n\none three two"), (9, long), (10, long + " more"), (8, "one three two\n\n\none three two")]
     check(spark, data, gone="1", codes="2", h="3")
     assert dedup_lines(documents(spark, [])).count() == 0
+
+
+def test_levels_are_no_column(spark):
+    """The table of levels stands inside one projection: as a column it is copied to each row."""
+    docs = keyed(documents(spark, [(1, "one two three\nfour")]), True)
+    levels = spark.range(1).selectExpr(f"array_repeat(cast(8 as tinyint), {CELLS}) as levels")
+    found = prefixes(kept_lines(docs, None), levels, 80)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "sort_array(transform(array_distinct(" in plan and not re.search(r"Subquery \S+, \[id=#\d+\] AS levels", plan)
+    assert sorted((r.n, r.skip, len(r.prefix)) for r in found.collect()) == [(1, 0, 1), (3, 0, 1)]
+
+
+def test_few_whole_sets_move(spark, monkeypatch):
+    """Lines that differ in too many words for their bitmaps to tell meet by short hashes; their
+    whole sets stay."""
+    base = [f"w{k}" for k in range(300)]
+    text = lambda k: " ".join(base[:240] + [f"x{k}_{i}" for i in range(60)])
+    docs = keyed(documents(spark, [(k, text(k)) for k in range(6)] + [(9, text(3) + " more")]), True)
+    pairs = spark.createDataFrame([(x, 0, 0, y, 0, 0) for x in (*range(6), 9) for y in range(6) if y < x], "doc long, h long, line_no int, y_doc long, y_h long, y_line_no int")
+    tables = {}
+    monkeypatch.setattr(lines, "stored", lambda df, name, sort=None: tables.setdefault(name, stored(df, name, sort)))
+    monkeypatch.setattr(lines, "discard", lambda *a: None)
+    assert [r.doc for r in verified(docs, pairs, 80, "t").collect()] == [9]
+    assert tables["t-pairs"].count() == 21 and tables["t-first-ends"].count() == 2
