@@ -46,8 +46,9 @@ def sainte_lague(weights, seats: int, caps) -> np.ndarray:
     for _ in range(200):
         mid = np.sqrt(low * high)
         low, high = (low, mid) if given(mid).sum() <= seats else (mid, high)
-    got = given(high)
-    # A quotient that is tied with its neighbour in floating point may be one ahead.
+    # Where quotients tie at the divisor, rounding may have given the later item its seat: all
+    # seats at the divisor are dealt out by their quotients.
+    got = given(high * (1 + 1e-12))
     while got.sum() < seats:
         quotient = np.where(got < caps, w / (2.0 * got + 1), -1.0)
         order = np.argsort(-quotient, kind="stable")[: seats - int(got.sum())]

@@ -35,6 +35,11 @@ def test_apportionment_is_seat_by_seat(items, seats):
     assert list(sainte_lague(w, seats, caps)) == one_by_one(w, seats, caps)
 
 
+def test_tied_seats_go_to_the_earlier_item():
+    for w, seats, caps in (([11.0, 33.0], 6, [2, 5]), ([33.0, 11.0], 6, [5, 2]), ([7.0, 21.0, 35.0], 11, [9, 9, 9])):
+        assert list(sainte_lague(w, seats, caps)) == one_by_one(w, seats, caps)
+
+
 def test_targets_stop_at_cap_and_keep_the_total():
     t = capped_targets([100, 10, 50, 0], [5, 2, 1, 5], 240, 2)
     assert np.isclose(t.sum(), 240) and (t <= [200, 20, 100, 0]).all() and t[1] == 20
